@@ -30,7 +30,9 @@ VOID = (
     "area base br col embed hr img input link meta source track wbr"
 ).split()
 IMPLIED = "p li dt dd option tr td th".split()
-INLINE = "a b code em font i small span strong u".split()
+INLINE = "b code em font i small strong u".split()
+# Inline tags that wrap whole blocks: like a block when closed, inline when not.
+WRAPPER = "a span".split()
 # Named character references that are decoded besides numeric ones.
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
@@ -73,7 +75,7 @@ def tag_name(token: Column) -> Column:
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def _decode_numeric(text: Column) -> Column:

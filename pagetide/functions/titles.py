@@ -29,8 +29,8 @@ def release_title(
 ) -> Column:
     """Normalised title of the first pattern that matches, else null."""
     spaced = [p.replace(r"\s", r"[\s\x{a0}\x{3000}]") for p in patterns]
-    found = F.coalesce(*[_first(text, p) for p in spaced])
-    return F.when(found.isNotNull(), F.concat(F.lit(prefix), found))
+    found = [F.get(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.lit(0)) for p in spaced]
+    return F.concat(F.lit(prefix), F.coalesce(*found))
 
 
 def release_version(title: Column, as_of: Column) -> Column:

@@ -61,6 +61,7 @@ def _tag_rows(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
         .when(F.col("tag").isin(H.VOID), "void")
         .when(F.col("tag").isin(H.IMPLIED), "implied")
         .when(F.col("tag").isin(H.INLINE), "inline")
+        .when(F.col("tag").isin(H.WRAPPER), "wrapper")
         .otherwise("block")
     )
     return rows.withColumn("cls", group)
@@ -89,8 +90,9 @@ def element_spans(pages: DataFrame, key: str | Sequence[str] = "page_id", html:
     )
 
     # 2. Innermost closed block around every token, by nesting depth.
-    block_open = is_open & (cls == "block") & F.col("pair").isNotNull()
-    block_close = (kind == -1) & (cls == "block") & F.col("paired")
+    closes_all = cls.isin("block", "wrapper")
+    block_open = is_open & closes_all & F.col("pair").isNotNull()
+    block_close = (kind == -1) & closes_all & F.col("paired")
     in_page = Window.partitionBy(*keys).orderBy("pos").rowsBetween(*_BEFORE)
     rows = rows.withColumn(
         "bd", F.sum(F.when(block_open, 1).when(block_close, -1).otherwise(0)).over(in_page)

@@ -131,48 +131,54 @@ def listing_cards(
     els = els.withColumn("box", box)
     inside = (F.col("open") > F.col("box.open")) & (F.col("open") < F.col("box.close"))
 
-    def firsts(start: int, count: int, value: Column, within: bool) -> Column:
-        cond = inside if within else F.lit(True)
+    def firsts(start: int, count: int, within: bool, *payload: Column) -> Column:
+        cond = F.col("inside") if within else F.lit(True)
         return F.array(*[
-            F.min(F.when(cond & in_rank(start + i), F.struct("open", "close", value.alias("v"))))
-            for i in range(count)
+            F.min(F.when(cond & in_rank(start + i), F.struct("open", *payload))) for i in range(count)
         ])
 
-    href, src = H.attr("href"), image_source()
     none = F.lit(None).cast("string")
+    is_image = F.exists("hits", lambda r: r >= at_image)
+    els = els.withColumns({
+        "inside": F.coalesce(inside, F.lit(False)),
+        "href": H.attr("href"),
+        "src": F.when(is_image, image_source()),
+    })
+    els = els.withColumn("good", F.when(is_image, (F.col("src") != "") & U.is_valid_image(F.col("src"), policy)))
+    link = (F.col("href").alias("v"),)
+    picture = (F.col("src").alias("v"), F.col("good").alias("good"))
     card = els.groupBy(key).agg(
         F.first("toks", ignorenulls=True).alias("toks"),
         F.first("box").alias("box"),
-        firsts(at_title, len(sel.title), none, True).alias("titles"),
-        firsts(at_url, len(sel.url), href, True).alias("urls_in"),
-        firsts(at_url, len(sel.url), href, False).alias("urls_doc"),
-        firsts(at_image, len(sel.image), src, True).alias("images_in"),
-        firsts(at_image, len(sel.image), src, False).alias("images_doc"),
+        firsts(at_title, len(sel.title), True, F.col("close")).alias("titles"),
+        firsts(at_url, len(sel.url), True, *link).alias("urls_in"),
+        firsts(at_url, len(sel.url), False, *link).alias("urls_doc"),
+        firsts(at_image, len(sel.image), True, *picture).alias("images_in"),
+        firsts(at_image, len(sel.image), False, *picture).alias("images_doc"),
     )
 
     def pick_title(c: Column, i: Column) -> Column:
         words = H.span_text(F.col("toks"), c["open"], c["close"])
-        return F.struct(i.alias("rank"), F.when(c.isNotNull(), title_of(words)).alias("value"))
+        return F.struct(i.alias("rank"), F.when(c.isNotNull(), H.bind(words, title_of)).alias("value"))
 
     def pick(ok) -> object:
         return lambda c, i: F.struct(
-            i.alias("rank"), F.when((c["v"] != "") & ok(c["v"]), c["v"]).alias("value")
+            i.alias("rank"), F.when((c["v"] != "") & ok(c), c["v"]).alias("value")
         )
 
-    relevant = lambda v: v.contains("patch") | v.contains("news")
+    relevant = lambda c: c["v"].contains("patch") | c["v"].contains("news")
+    everything = H.span_text(F.col("toks"), F.col("box.open"), F.col("box.close"))
     names = F.array(*[F.lit(s) for s in sel.title]), F.array(*[F.lit(s) for s in sel.url])
     found = card.select(
         key,
         F.col("box"),
         _first_some(F.col("titles"), pick_title).alias("t"),
-        title_of(H.span_text(F.col("toks"), F.col("box.open"), F.col("box.close"))).alias("t_all"),
+        H.bind(everything, title_of).alias("t_all"),
         F.when((F.col("box.tag") == "a") & (F.col("box.href") != ""), F.col("box.href")).alias("u_box"),
-        _first_some(F.col("urls_in"), pick(lambda v: F.lit(True))).alias("u"),
-        _first_some(F.col("urls_doc"), pick(lambda v: v.contains("patch"))).alias("u_doc"),
-        _first_some(F.col("images_in"), pick(lambda v: U.is_valid_image(v, policy))).alias("i"),
-        _first_some(
-            F.col("images_doc"), pick(lambda v: U.is_valid_image(v, policy) & relevant(v))
-        ).alias("i_doc"),
+        _first_some(F.col("urls_in"), pick(lambda c: F.lit(True))).alias("u"),
+        _first_some(F.col("urls_doc"), pick(lambda c: c["v"].contains("patch"))).alias("u_doc"),
+        _first_some(F.col("images_in"), pick(lambda c: c["good"])).alias("i"),
+        _first_some(F.col("images_doc"), pick(lambda c: c["good"] & relevant(c))).alias("i_doc"),
     )
     title = F.coalesce("t.value", "t_all")
     url = F.coalesce("u_box", "u.value", "u_doc.value")

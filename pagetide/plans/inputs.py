@@ -83,7 +83,7 @@ SELECT c_custkey AS source,
   'Patch of ' || c_name AS title,
   TIMESTAMP_NTZ '1998-01-01 00:00:00' AS published_at,
   CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP_NTZ '2098-01-01 00:00:00' ELSE TIMESTAMP_NTZ '1997-06-01 00:00:00' END AS last_notification,
-  CAST(c_acctbal AS BIGINT) AS total
+  CAST(floor(c_acctbal) AS BIGINT) AS total
 FROM {customer}
 """
 

@@ -32,7 +32,7 @@ PRODUCT = "Release notices"
 MODEL = "summary-model"
 AS_OF = "2024-01-31 00:00:00"
 NAV_CARD = extract.CardSelectors(
-    container=("main", "article"), title=("h2", "h1"), url=("p a", "nav a"), image=("img",)
+    container=("main .card", "body"), title=("h2", "h1"), url=("p a", "nav a"), image=("img",)
 )
 LIST_CARD = extract.CardSelectors(
     container=(".missing", "section.grid > .card", "div section[class~=grid]"),
