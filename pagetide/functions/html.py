@@ -33,8 +33,10 @@ IMPLIED = "p li dt dd option tr td th".split()
 INLINE = "b code em font i small strong u".split()
 # Inline tags that wrap whole blocks: like a block when closed, inline when not.
 WRAPPER = "a span".split()
+REFERENCE = "&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);"
 # Named character references that are decoded besides numeric ones.
 ENTITIES = {
+    "amp": "&",
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
     "copy": "©", "reg": "®", "trade": "™", "middot": "·",
     "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
@@ -78,34 +80,30 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def _decode_numeric(text: Column) -> Column:
-    # Pieces after the first start right behind "&#"; decode the number there.
-    def one(piece: Column) -> Column:
-        body = F.substring_index(piece, ";", 1)
-        hexa = F.lower(F.substring(body, 1, 1)) == "x"
-        code = F.when(hexa, F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).cast("int")
-        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(
-            F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0")), "UTF-32"
-        )
-        return F.concat(char, F.substring(piece, F.length(body) + 2, F.length(piece)))
-
-    def join(pieces: Column) -> Column:
-        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-        return F.concat(pieces[0], F.array_join(F.transform(rest, one), ""))
-
-    marks = "&#(?=[0-9]{1,7};|[xX][0-9A-Fa-f]{1,6};)"
-    return bind(F.split(text, marks), join)
+def _numeric_reference(ref: Column) -> Column:
+    """Character of ``&#n;`` or ``&#xh;``; null for any other reference."""
+    body = F.regexp_extract(ref, r"^&#([xX]?[0-9A-Fa-f]+);", 1)
+    hexa = F.lower(F.substring(body, 1, 1)) == "x"
+    code = F.when(hexa, F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).try_cast("int")
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    safe = F.when(known, code).when(code.isNotNull(), 0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode character references; ``&amp;`` goes last so nothing decodes twice."""
-    out = text
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    numeric = bind(out, lambda t: F.when(t.contains("&#"), _decode_numeric(t)).otherwise(t))
-    out = F.replace(numeric, F.lit("&amp;"), F.lit("&"))
-    return F.when(text.contains("&"), out).otherwise(text)
+    """Decode character references in one pass; unknown ones stay as written."""
+    pairs = ", ".join(f"'&{n};', '\\u{ord(c):04x}'" for n, c in ENTITIES.items())
+    known = F.expr(f"map({pairs})")
+    pieces, found = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    joined = F.zip_with(
+        pieces,
+        found,
+        lambda piece, ref: F.concat(
+            piece,
+            F.coalesce(F.try_element_at(known, ref), _numeric_reference(ref), ref, F.lit("")),
+        ),
+    )
+    return F.when(text.contains("&"), F.array_join(joined, "")).otherwise(text)
 
 
 def span_tokens(tokens: Column, start: Column, end: Column) -> Column:

@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    # Call-site capture makes building large expressions several times slower.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
