@@ -20,16 +20,23 @@ JAPANESE_SHARE = 0.1
 # ---------------------------------------------------------------------------
 
 
+# The same classes by Unicode property, which Java matches several times faster
+# than a list of ranges; the next-line character is not white space here.
+_GAP = r"(?U)[\s\x{feff}&&[^\x{85}]]+"
+_INK = r"(?U)[!-~[^\s\x{feff}]\x{85}]+"
+
+
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    gap = _GAP.removeprefix("(?U)")
+    return F.regexp_replace(text, rf"(?U)\A{gap}|{gap}\z", "")
 
 
 def collapse_space(text: Column) -> Column:
-    return F.regexp_replace(trim_space(text), f"[{SPACE}]+", " ")
+    return F.regexp_replace(trim_space(text), _GAP, " ")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(text, F.lit(_INK))
 
 
 def sentence_count(text: Column) -> Column:
@@ -54,7 +61,7 @@ def readability(words: Column, sentences: Column, syllables: Column) -> Column:
 
 
 def language_tag(text: Column) -> Column:
-    total = F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
+    total = F.length(F.regexp_replace(text, _GAP, ""))
     japanese = F.regexp_count(text, F.lit(KANA_KANJI))
     return (
         F.when(total == 0, "unknown")
@@ -69,10 +76,10 @@ def keywords(text: Column, top: int = 10, min_length: int = 4, unicode_words: bo
     A document is one row, so its words are sorted and run-length counted in
     place; nothing is exploded or shuffled.
     """
-    word_chars = r"\p{L}\p{N}_" if unicode_words else "A-Za-z0-9_"
-    kept = F.regexp_replace(F.lower(text), f"[^{word_chars}{SPACE}]+", "")
-    words = F.filter(F.split(kept, f"[{SPACE}]+"), lambda w: F.length(w) >= min_length)
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    word_chars = r"\p{L}\p{N}_" if unicode_words else "a-z0-9_"
+    kept = F.regexp_replace(F.lower(text), rf"(?U)[^{word_chars}\s\x{{feff}}&&[^\x{{85}}]]+|\x{{85}}+", "")
+    words = F.regexp_extract_all(kept, F.lit(rf"[{word_chars}]{{{min_length},}}"), F.lit(0))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
     def count_runs(rows: Column) -> Column:
         starts = F.array_compact(
@@ -91,7 +98,7 @@ def keywords(text: Column, top: int = 10, min_length: int = 4, unicode_words: bo
                     F.get(rows, p)["w"].alias("w"),
                 ),
             )
-            return F.slice(F.array_sort(runs), 1, top)
+            return F.slice(F.sort_array(runs), 1, top)
 
         return bind(starts, ranked)
 

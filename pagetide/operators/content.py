@@ -80,7 +80,7 @@ def content_profile(
     stamp = F.coalesce(H.attr("content"), H.attr("datetime"))
 
     def listed(rank: int, value: Column = span) -> Column:
-        return F.array_sort(F.collect_list(F.when(in_rank(rank), value)))
+        return F.sort_array(F.collect_list(F.when(in_rank(rank), value)))
 
     parts: dict[str, Column] = {
         "bodies": listed(0),
@@ -112,10 +112,12 @@ def content_profile(
     )
     body = page.withColumn("body_text", F.array_join(_texts("bodies"), ""))
     text = F.col("body_text")
-    words = X.word_count(text)
+    body = body.withColumn("word_count", X.word_count(text))
+    if readability:
+        body = body.withColumns({"_sentences": X.sentence_count(text), "_syllables": X.syllable_count(text)})
     out = [
         F.col(key),
-        words.alias("word_count"),
+        F.col("word_count"),
         F.length(text).alias("character_count"),
         F.col("paragraph_count"), F.col("heading_count"), F.col("link_count"), F.col("image_count"),
     ]
@@ -142,7 +144,7 @@ def content_profile(
         ]
     if readability:
         out.append(
-            X.readability(words, X.sentence_count(text), X.syllable_count(text)).alias("readability")
+            X.readability(F.col("word_count"), F.col("_sentences"), F.col("_syllables")).alias("readability")
         )
     if language:
         out.append(X.language_tag(text).alias("language"))

@@ -103,7 +103,7 @@ def _apply(pages: DataFrame, edit: Edit, key: str) -> DataFrame:
     done = kept.where("token is not null").groupBy(key).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("at", "ord", "token"))), lambda r: r["token"]
+                F.sort_array(F.collect_list(F.struct("at", "ord", "token"))), lambda r: r["token"]
             ),
             "",
         ).alias("html")

@@ -232,7 +232,7 @@ def detail_pages(
     )
 
     def body(rank: Column) -> Column:
-        spans = F.array_sort(F.filter("xs", lambda x: F.array_contains(x["ranks"], rank)))
+        spans = F.sort_array(F.filter("xs", lambda x: F.array_contains(x["ranks"], rank)))
         joined = F.array_join(
             F.transform(spans, lambda x: H.span_text(F.col("toks"), x["open"], x["close"])), ""
         )

@@ -40,7 +40,7 @@ def with_child_counts(els: DataFrame, key: str = "page_id") -> DataFrame:
 def _page_names(els: DataFrame, key: str, per_element: Column) -> DataFrame:
     """Names of a page in document order, one array per page."""
     listed = els.groupBy(key).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(F.size(per_element) > 0, F.struct("open", per_element.alias("names"))))
         ).alias("xs")
     )
@@ -60,7 +60,7 @@ def unique_selectors(els: DataFrame, key: str = "page_id", top: int = MAX_SELECT
     el_id = H.attr("id")
     ids = F.when(el_id != "", F.concat(F.lit("#"), el_id))
     listed = els.groupBy(key).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.when(
                     ids.isNotNull() | (F.size(H.class_list()) > 0),

@@ -61,7 +61,7 @@ def search_tasks(pages: DataFrame, tasks: Sequence[Task], key: str = "page_id")
         rows.groupBy(key, "task_id", "selector_no", "selector")
         .agg(
             F.count("*").alias("n"),
-            F.array_sort(F.collect_list(F.struct("open", "text"))).alias("t"),
+            F.sort_array(F.collect_list(F.struct("open", "text"))).alias("t"),
         )
         .select(key, "task_id", "selector_no", "selector", "n", F.col("t.text").alias("texts"))
     )

@@ -453,6 +453,11 @@ ORACLES["chunk_hits"] = "WITH " + elements_cte(_CHUNKS) + f"""
 SELECT page_id // 100000 AS page_id, page_id % 100000 AS chunk, (page_id % 100000) * 1500 AS position,
   CASE tag WHEN 'li' THEN 'li' WHEN 'p' THEN 'p' ELSE 'h1, h2' END AS selector, open, tag, {text_of('e')} AS text
 FROM els e JOIN docs USING (page_id) WHERE tag IN ('li', 'p', 'h1', 'h2')"""
+ORACLES["page_edits"] = ON_PAGES + f""",
+cut AS (SELECT page_id, open, close FROM els WHERE tag IN ('nav', 'script', 'style') OR {has_class('ad')})
+SELECT d.page_id, coalesce(string_agg(regexp_replace(t.token, '^<article>$', '<article data-clean="1">'), '' ORDER BY t.pos), '') AS html
+FROM docs d LEFT JOIN (SELECT * FROM tokens t WHERE NOT EXISTS (
+  SELECT 1 FROM cut c WHERE c.page_id = t.page_id AND c.open <= t.pos AND t.pos <= c.close)) AS t USING (page_id) GROUP BY d.page_id"""
 ORACLES["task_extract"] = ON_PAGES + f"""
 SELECT e.page_id, 't1' AS task_id, CASE tag WHEN 'li' THEN 'nav li' ELSE 'h1' END AS selector, e.open, e.tag, {text_of('e')} AS text, {html_of('e')} AS inner_html
 FROM els e JOIN docs USING (page_id) WHERE (tag = 'li' AND {under('nav')}) OR tag = 'h1'"""
@@ -731,6 +736,9 @@ SELECT user_id AS source, count_if(event_type <> 'error') AS total_executions, m
 # ---- stores, exports, responses, notices ----------------------------------
 
 _ONE = f"""SELECT *, regexp_replace(version, '\\..*', '.x') AS v FROM ({RECORDS}) AS r"""
+ORACLES["store_roundtrip"] = f"""
+SELECT v AS version, v AS version_key, title, url, content, '{BASE}' AS source_url FROM ({_ONE}) AS r
+QUALIFY row_number() OVER (PARTITION BY v ORDER BY published_at DESC, url DESC) = 1"""
 OPS = I.as_sql(I.OPERATIONS)
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('millisecond' FROM {0}) % 1000 AS VARCHAR), 3, '0') || 'Z'"
 ORACLES["session_export"] = f"""
@@ -850,6 +858,22 @@ def mask(text: str) -> str:
 
 ORACLES["masked_text"] = f"SELECT id, {mask('text')} AS masked FROM ({TEXTS}) AS t"
 ORACLES["masked_ids"] = rf"SELECT id, regexp_replace(text, '\b(\d{{4}})\d{{9,11}}(\d{{4}})\b', '\1***\2', 'g') AS masked FROM ({TEXTS}) AS t"
+
+
+def starred(source: str, number: int, pattern: str) -> str:
+    """One step of the mask that keeps lengths: pieces and stars, zipped."""
+    return rf"""
+s{number} AS (
+  SELECT id, array_to_string([p[i] || coalesce(repeat('*', length(m[i])), '') for i in range(1, len(p) + 1)], '') AS text
+  FROM (SELECT id, regexp_split_to_array(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM {source}) AS q
+)"""
+
+
+_EMAIL = rf"""e AS (SELECT id, regexp_replace(text, '\b([A-Za-z0-9._%+-]{{1,2}})[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}})\b', '\1***@\2', 'g') AS text FROM s3)"""
+ORACLES["masked_length"] = "WITH " + ",".join([
+    f"t AS ({TEXTS})", starred("t", 0, M.API_KEYS[0]), starred("s0", 1, M.API_KEYS[1]), starred("s1", 2, M.API_KEYS[2].removeprefix("(?U)")),
+    starred("s2", 3, M.WEBHOOK), _EMAIL, starred("e", 4, r"\b\d{3}-\d{4}-\d{4}\b"), starred("s4", 5, r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b"),
+]) + "\nSELECT id, text AS masked FROM s5"
 ORACLES["masked_records"] = f"""
 SELECT id, {mask('text')} AS note, '[MASKED]' AS api_key, {mask('text')} AS line, '[MASKED]' AS author, {mask('text')} AS text FROM ({MESSAGES}) AS m"""
 ORACLES["masked_errors"] = rf"""

@@ -216,7 +216,7 @@ def release_titles(spark, sf):
 
 @query
 def release_versions(spark, sf):
-    return table(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         "doc_id", N.release_version(F.col("text"), as_of()).alias("version")
     )
 
@@ -394,7 +394,7 @@ def webhook_filter(spark, sf):
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return stores.read_table(spark, f"{sf}/documents.parquet")
 
 
 @query
@@ -415,8 +415,11 @@ def keywords(spark, sf):
 @query
 def readability(spark, sf):
     t = F.col("text")
-    score = X.readability(X.word_count(t), X.sentence_count(t), X.syllable_count(t))
-    return _docs(spark, sf).select("doc_id", F.round(score, 6).alias("score"))
+    counted = _docs(spark, sf).select(
+        "doc_id", X.word_count(t).alias("w"), X.sentence_count(t).alias("s"), X.syllable_count(t).alias("y")
+    )
+    score = X.readability(F.col("w"), F.col("s"), F.col("y"))
+    return counted.select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query

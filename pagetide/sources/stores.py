@@ -24,6 +24,16 @@ RELEASE_SCHEMA = T.StructType([
 # ---------------------------------------------------------------------------
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table; one with fewer splits than cores is spread over them.
+
+    Text work is CPU-bound, so a file of one row group must not pin one core.
+    A large table has more splits than cores and is read as it is.
+    """
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
@@ -43,19 +53,19 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def _one_per_version(df: DataFrame, newest: str) -> DataFrame:
+def _one_per_version(df: DataFrame, *order: str) -> DataFrame:
     """Last row of each version key, as a store keeps one record per key."""
     keyed = df.withColumn("version_key", version_key(F.col("version")))
     cols = [c for c in keyed.columns if c != "version_key"]
-    order = F.struct(F.col(newest), F.to_json(F.struct(*cols)))
-    return keyed.groupBy("version_key").agg(F.max_by(F.struct(*cols), order).alias("r")).select(
+    last = F.max_by(F.struct(*cols), F.struct(*order))
+    return keyed.groupBy("version_key").agg(last.alias("r")).select(
         "r.*", "version_key"
     )
 
 
 def release_store_rows(releases: DataFrame, saved_at: Column, source_url: str) -> DataFrame:
     """Rows as stored: one per version key, with the save time and origin."""
-    return _one_per_version(releases, "published_at").withColumns({
+    return _one_per_version(releases, "published_at", "url").withColumns({
         "saved_at": saved_at,
         "metadata": F.struct(
             F.lit(STORE_VERSION).alias("scraper_version"), F.lit(source_url).alias("source_url")
@@ -80,7 +90,7 @@ def write_releases(releases: DataFrame, path: str, saved_at: Column, source_url:
 
 
 def write_summaries(summaries: DataFrame, path: str) -> None:
-    _write_store(_one_per_version(summaries, "generated_at"), path)
+    _write_store(_one_per_version(summaries, "generated_at", "summary"), path)
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
