@@ -71,22 +71,43 @@ def live_sessions(
 
 
 def rolling_counts(
-    requests: DataFrame, key: str, ts: str = "ts", limit: int = QUOTA, seconds: int = QUOTA_SECONDS
+    requests: DataFrame, key: str, ts: str = "ts", limit: int = QUOTA, seconds: int = QUOTA_SECONDS,
+    slots: int = 60,
 ) -> DataFrame:
     """Requests of the key in the window that ends with each row.
 
-    The lower bound is exclusive. Rows are grouped by (key, window-sized time
-    bucket) and also shown to the next bucket, so a busy key is spread out.
+    The lower bound is exclusive. Neither a busy key nor a busy hour ends up in
+    one task: rows are grouped by (key, slot), a slot being 1/``slots`` of the
+    window. A slot sees its own rows, the rows that leave the window during it
+    (shifted by one window), and one carry row with the pre-aggregated count of
+    the slots between.
     """
     width = seconds * 1_000_000
+    span = next(n for n in range(slots, 0, -1) if width % n == 0)
+    step = width // span
     at = requests.withColumn("_at", micros(requests, ts))
-    home = F.floor(F.col("_at") / width).cast("long")
-    copies = at.withColumn("_home", home).select(
-        "*", F.explode(F.array(F.col("_home"), F.col("_home") + 1)).alias("_bucket")
+    slot = F.floor(F.col("_at") / step).cast("long")
+    counts = at.groupBy(key, slot.alias("_slot")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slot").rangeBetween(-span, -1)
+    carried = counts.select(
+        key, "_slot", (F.col("_slot") * step).alias("_at"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_delta"),
+    )
+    own = at.withColumns({"_slot": slot, "_delta": F.lit(1).cast("long"), "_own": F.lit(True)})
+    leaving = at.select(
+        key, (slot + span).alias("_slot"), (F.col("_at") + step * span).alias("_at"),
+        F.lit(-1).cast("long").alias("_delta"),
+    )
+    both = own.unionByName(carried, allowMissingColumns=True).unionByName(leaving, allowMissingColumns=True)
+    upto = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return (
+        both.withColumn("in_window", F.sum("_delta").over(upto))
+        .where("_own")
+        .drop("_at", "_slot", "_delta", "_own")
+        .withColumn("allowed", F.col("in_window") - 1 < limit)
     )
-    past = Window.partitionBy(key, "_bucket").orderBy("_at").rangeBetween(-width + 1, 0)
-    counted = copies.withColumn("in_window", F.count("*").over(past)).where("_bucket = _home")
-    return counted.drop("_at", "_home", "_bucket").withColumn("allowed", F.col("in_window") - 1 < limit)
 
 
 def with_bursts(requests: DataFrame, key: str, order: Sequence[str], seconds: int = QUOTA_SECONDS) -> DataFrame:
