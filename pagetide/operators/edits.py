@@ -92,15 +92,17 @@ def _apply(pages: DataFrame, edit: Edit, key: str) -> DataFrame:
             "array<struct<at:int,ord:int,token:string,cut:int>>"
         )
 
+    # The empty row at 0 keeps a page that loses everything.
+    start = F.array(row(F.lit(0), 5, F.lit(""), no_cut))
     own = F.transform("toks", lambda t, i: row(i + 1, 5, t, no_cut))
-    rows = page.select(key, F.inline(F.concat(own, F.flatten(F.transform("xs", marks)))))
+    rows = page.select(key, F.inline(F.concat(start, own, F.flatten(F.transform("xs", marks)))))
     along = Window.partitionBy(key).orderBy("at", "ord")
     gone = F.max("cut").over(along.rowsBetween(Window.unboundedPreceding, -1))
     # Ends inside a removed span vanish with it; marks at its own start survive.
     kept = rows.withColumn("gone", F.coalesce(gone, F.lit(-1))).where(
         (F.col("ord") >= 6) & (F.col("at") >= F.col("gone")) | (F.col("at") > F.col("gone"))
     )
-    done = kept.where("token is not null").groupBy(key).agg(
+    return kept.where("token is not null").groupBy(key).agg(
         F.array_join(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("at", "ord", "token"))), lambda r: r["token"]
@@ -108,10 +110,6 @@ def _apply(pages: DataFrame, edit: Edit, key: str) -> DataFrame:
             "",
         ).alias("html")
     )
-    # A page that lost everything is still a page.
-    return pages.drop("html").join(done, key, "left").withColumn(
-        "html", F.coalesce("html", F.lit(""))
-    )
 
 
 def edit_pages(

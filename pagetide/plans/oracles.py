@@ -146,6 +146,7 @@ ON_LISTINGS = "WITH " + elements_cte(LISTINGS)
 
 # ---- tokens and elements --------------------------------------------------
 
+ORACLES["page_scan"] = "SELECT page_id, url, length(html) AS n_chars FROM pages"
 ORACLES["page_tokens"] = "WITH " + tokens_cte(PAGES) + """
 SELECT page_id, pos, kind, CASE WHEN kind <> 0 THEN tag END AS tag, token FROM tokens"""
 _ALL = "\nSELECT page_id, open, close, tag, depth, parent FROM els"
@@ -912,6 +913,7 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 ORACLES["stream_rates"] = f"""
 SELECT * FROM (SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2) AS w
 WHERE window_start + INTERVAL 1 HOUR <= {_CLOSED}"""
+ORACLES["stream_late"] = ORACLES["stream_rates"] + " AND window_start >= TIMESTAMP '2024-01-16 00:00:00'"
 ORACLES["stream_sliding_rates"] = f"""
 SELECT event_type, s AS window_start, count(*) AS n FROM (
   SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) AS w

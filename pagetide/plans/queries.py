@@ -98,6 +98,11 @@ def _listings(spark, sf):
 # ---- tokens and elements --------------------------------------------------
 
 
+@query
+def page_scan(spark, sf):
+    return _pages(spark, sf).select("page_id", "url", F.length("html").alias("n_chars"))
+
+
 @query
 def page_tokens(spark, sf):
     return E.page_tokens(_pages(spark, sf)).select("page_id", "pos", "kind", "tag", "token")
@@ -926,6 +931,21 @@ def stream_sliding_rates(spark, sf):
     return spark.read.parquet(out).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
+@query
+def stream_late(spark, sf):
+    """The later half of the log arrives first; the earlier half is too late."""
+    events, root = table(spark, sf, "events"), work_folder(spark, "stream")
+    middle = F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
+    for drop in (middle, ~middle):
+        events.where(drop).write.mode("append").parquet(f"{root}/drops")
+        stream = jobs.file_stream(spark, f"{root}/drops").withColumn("ts", F.col("ts").cast("timestamp"))
+        windows = jobs.request_windows(stream, "event_type", slide=None)
+        jobs.write_stream(windows, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        "event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n"
+    )
+
+
 @query
 def stream_sessions(spark, sf):
     ops = _clocked(spark, sf).withColumn("error", F.when(F.col("event_type") == "error", "x"))
