@@ -35,12 +35,16 @@ def page_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     )
 
 
-def _tag_rows(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
-    """Tag tokens plus one root row per page that alone carries the token array."""
+def _located(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     # A fixed count: the tag rows are many times the size of the HTML, so letting
     # AQE merge partitions by the size of the HTML would starve the windows.
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    located = pages.repartition(parts, *keys).select(*keys, H.html_tokens(F.col(html)).alias("toks"))
+    return pages.select(*keys, html).repartition(parts, *keys)
+
+
+def _tag_rows(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
+    """Tag tokens plus one root row per page that alone carries the token array."""
+    located = pages.select(*keys, H.html_tokens(F.col(html)).alias("toks"))
     none = F.lit(None).cast("array<string>")
     root = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("token"), F.col("toks").alias("toks")))
     tags = F.filter(
@@ -76,7 +80,7 @@ def element_spans(pages: DataFrame, key: str | Sequence[str] = "page_id", html:
     closing positions per nesting level.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rows = _tag_rows(pages, keys, html)
+    rows = _tag_rows(_located(pages, keys, html), keys, html)
     kind, pos, cls, tag = F.col("kind"), F.col("pos"), F.col("cls"), F.col("tag")
     is_open = kind == 1
     end_of_page = F.lit(2147483647)
@@ -219,6 +223,17 @@ def with_attributes(elements: DataFrame) -> DataFrame:
     )
 
 
+def open_tags(pages: DataFrame, key: str | Sequence[str] = "page_id", html: str = "html") -> DataFrame:
+    """Elements without their spans: key, open, tag, token and attributes.
+
+    Map-only: enough for everything that looks at single tags (links, images,
+    classes, ids), and far cheaper than the span model. Keeps the root row.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = _tag_rows(pages, keys, html).where("kind = 1 or pos = 0")
+    return with_attributes(rows.select(*keys, F.col("pos").alias("open"), "tag", "token"))
+
+
 def elements(
     pages: DataFrame,
     key: str | Sequence[str] = "page_id",
@@ -268,7 +283,7 @@ def element_attributes(els: DataFrame, key: str = "page_id") -> DataFrame:
         F.posexplode(F.arrays_zip("attr_names", "attr_values")).alias("i", "kv"),
         "attr_names",
     )
-    first = F.array_position("attr_names", F.col("kv.attr_names")) == F.col("i") + 1
+    first = F.array_position(F.col("attr_names"), F.col("kv.attr_names")) == F.col("i") + 1
     return pairs.where(first).select(
         key, "open", "tag",
         F.col("kv.attr_names").alias("name"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetide.functions.clock import micros
-from pagetide.operators.ordered import lag_by_key, latest_mark_by_key
 
 # ---- fixed values ---------------------------------------------------------
 QUOTA, QUOTA_SECONDS = 20, 3600
@@ -113,14 +112,30 @@ def rolling_counts(
 def with_bursts(requests: DataFrame, key: str, order: Sequence[str], seconds: int = QUOTA_SECONDS) -> DataFrame:
     """Add ``burst``: start of the run of requests with gaps below the window.
 
-    A quota is empty again after such a gap, so bursts are independent.
+    A quota is empty again after such a gap, so bursts are independent. Runs are
+    found inside (key, slot) groups first, a slot being as long as the window; one summary row per group tells which
+    burst its leading run continues. The summary and the join reuse the grouping
+    of the rows, so the requests are shuffled once.
     """
-    width = seconds * 1_000_000
-    bucket = F.floor(F.col(order[0]) / (24 * 3600 * 1_000_000)).cast("long")
-    seen = lag_by_key(requests, [key], bucket, order, [order[0]])
-    fresh = F.col("prev").isNull() | (F.col(order[0]) - F.col(f"prev.{order[0]}") >= width)
-    marked = seen.withColumn("_start", F.when(fresh, F.col(order[0]))).drop("prev")
-    return latest_mark_by_key(marked, [key], bucket, order, "_start", "burst").drop("_start")
+    width, at = seconds * 1_000_000, F.col(order[0])
+    rows = requests.withColumn("_slot", F.floor(at / width).cast("long"))
+    slot = Window.partitionBy(key, "_slot").orderBy(*order)
+    prev = F.lag(at).over(slot)
+    rows = rows.withColumn("_start", F.when(prev.isNull() | (at - prev >= width), at))
+    upto = slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("_run", F.last("_start", True).over(upto)).drop("_start")
+    slots = local.groupBy(key, "_slot").agg(
+        F.min(at).alias("_first"), F.max(at).alias("_last"), F.max("_run").alias("_tail")
+    )
+    along = Window.partitionBy(key).orderBy("_slot")
+    quiet = F.lag("_last").over(along)
+    head = F.when(quiet.isNull() | (F.col("_first") - quiet >= width), F.col("_first"))
+    slots = slots.withColumn("_head", head)
+    latest = F.coalesce(F.when(F.col("_tail") > F.col("_first"), F.col("_tail")), F.col("_head"))
+    earlier = F.max(latest).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    heads = slots.select(key, "_slot", "_first", F.coalesce("_head", earlier).alias("_head"))
+    burst = F.when(F.col("_run") == F.col("_first"), F.col("_head")).otherwise(F.col("_run"))
+    return local.join(heads, [key, "_slot"]).withColumn("burst", burst).drop("_slot", "_run", "_first", "_head")
 
 
 def admit_requests(

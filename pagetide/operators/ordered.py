@@ -42,27 +42,3 @@ def lag_by_key(
         .where("_is_row")
         .drop("_bucket", "_now", "_is_row")
     )
-
-
-def latest_mark_by_key(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], mark: str, into: str
-) -> DataFrame:
-    """Add the last non-null ``mark`` of the key up to and including the row.
-
-    ``mark`` must not decrease along the order.
-    """
-    rows = df.withColumn("_bucket", bucket)
-    tails = rows.groupBy(*keys, "_bucket").agg(F.max(mark).alias("_tail"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.withColumn("_tail", F.max("_tail").over(before)).where("_tail is not null")
-    marked = rows.withColumns({"_now": F.col(mark), "_is_row": F.lit(True)})
-    carry_rows = carried.select(*keys, "_bucket", F.col("_tail").alias("_now"), F.lit(False).alias("_is_row"))
-    both = marked.unionByName(carry_rows, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys, "_bucket").orderBy("_is_row", *order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return (
-        both.withColumn(into, F.last("_now", True).over(upto))
-        .where("_is_row")
-        .drop("_bucket", "_now", "_is_row")
-    )

@@ -122,7 +122,7 @@ def listing_elements(spark, sf):
 
 @query
 def element_attributes(spark, sf):
-    return E.element_attributes(E.elements(_listings(spark, sf)))
+    return E.element_attributes(E.open_tags(_listings(spark, sf)))
 
 
 @query
@@ -326,7 +326,7 @@ def task_batch(spark, sf):
 
 def _links(spark, sf):
     pages = _pages(spark, sf)
-    els = E.elements(pages)
+    els = E.open_tags(pages)
     hrefs = els.where("tag = 'a'").select("page_id", H.attr("href").alias("url")).where("url is not null")
     return pages.select("page_id", "url").unionByName(hrefs)
 
@@ -498,7 +498,7 @@ def page_structure(spark, sf):
 
 @query
 def page_classes(spark, sf):
-    return R.available_classes(E.elements(_listings(spark, sf)))
+    return R.available_classes(E.open_tags(_listings(spark, sf)))
 
 
 @query
@@ -509,7 +509,7 @@ def page_links(spark, sf):
 
 @query
 def page_images(spark, sf):
-    rows = R.image_elements(E.elements(_listings(spark, sf)))
+    rows = R.image_elements(E.open_tags(_listings(spark, sf)))
     return rows.withColumn("classes", F.array_join("classes", " "))
 
 
@@ -520,7 +520,7 @@ def page_depth(spark, sf):
 
 @query
 def unique_selectors(spark, sf):
-    return R.unique_selectors(E.elements(_listings(spark, sf)))
+    return R.unique_selectors(E.open_tags(_listings(spark, sf)))
 
 
 @query
@@ -546,13 +546,13 @@ def element_children(spark, sf):
 
 @query
 def image_sizes(spark, sf):
-    rows = R.image_analysis(R.image_elements(E.elements(_listings(spark, sf))))
+    rows = R.image_analysis(R.image_elements(E.open_tags(_listings(spark, sf))))
     return rows.withColumn("mean_size", F.round("mean_size", 6))
 
 
 @query
 def image_formats(spark, sf):
-    return R.image_formats(R.image_elements(E.elements(_listings(spark, sf))))
+    return R.image_formats(R.image_elements(E.open_tags(_listings(spark, sf))))
 
 
 # ---- state ----------------------------------------------------------------
@@ -579,7 +579,7 @@ def new_releases(spark, sf):
 
 @query
 def change_feed(spark, sf):
-    bucket = F.date_trunc("year", F.col("ts"))
+    bucket = F.date_trunc("month", F.col("ts"))
     return state.change_feed(_snapshots(spark, sf), ["source"], bucket, ["ts", "snap_id"])
 
 
