@@ -109,33 +109,24 @@ def rolling_counts(
     )
 
 
-def with_bursts(requests: DataFrame, key: str, order: Sequence[str], seconds: int = QUOTA_SECONDS) -> DataFrame:
+def with_bursts(requests: DataFrame, key: str, at: str = "_at", seconds: int = QUOTA_SECONDS) -> DataFrame:
     """Add ``burst``: start of the run of requests with gaps below the window.
 
-    A quota is empty again after such a gap, so bursts are independent. Runs are
-    found inside (key, slot) groups first, a slot being as long as the window; one summary row per group tells which
-    burst its leading run continues. The summary and the join reuse the grouping
-    of the rows, so the requests are shuffled once.
+    A quota is empty again after such a gap, so bursts are independent. A slot
+    as long as the window cannot hold such a gap, so bursts are found on one
+    pre-aggregated row per (key, slot) and joined back.
     """
-    width, at = seconds * 1_000_000, F.col(order[0])
-    rows = requests.withColumn("_slot", F.floor(at / width).cast("long"))
-    slot = Window.partitionBy(key, "_slot").orderBy(*order)
-    prev = F.lag(at).over(slot)
-    rows = rows.withColumn("_start", F.when(prev.isNull() | (at - prev >= width), at))
-    upto = slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumn("_run", F.last("_start", True).over(upto)).drop("_start")
-    slots = local.groupBy(key, "_slot").agg(
-        F.min(at).alias("_first"), F.max(at).alias("_last"), F.max("_run").alias("_tail")
-    )
+    width = seconds * 1_000_000
+    rows = requests.withColumn("_slot", F.floor(F.col(at) / width).cast("long"))
+    slots = rows.groupBy(key, "_slot").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
     along = Window.partitionBy(key).orderBy("_slot")
     quiet = F.lag("_last").over(along)
-    head = F.when(quiet.isNull() | (F.col("_first") - quiet >= width), F.col("_first"))
-    slots = slots.withColumn("_head", head)
-    latest = F.coalesce(F.when(F.col("_tail") > F.col("_first"), F.col("_tail")), F.col("_head"))
-    earlier = F.max(latest).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    heads = slots.select(key, "_slot", "_first", F.coalesce("_head", earlier).alias("_head"))
-    burst = F.when(F.col("_run") == F.col("_first"), F.col("_head")).otherwise(F.col("_run"))
-    return local.join(heads, [key, "_slot"]).withColumn("burst", burst).drop("_slot", "_run", "_first", "_head")
+    start = F.when(quiet.isNull() | (F.col("_first") - quiet >= width), F.col("_first"))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bursts = slots.withColumn("_start", start).select(
+        key, "_slot", F.last("_start", True).over(upto).alias("burst")
+    )
+    return rows.join(bursts, [key, "_slot"]).drop("_slot")
 
 
 def admit_requests(
@@ -156,7 +147,7 @@ def admit_requests(
     """
     width = seconds * 1_000_000
     at = requests.withColumn("_at", micros(requests, ts))
-    bursts = with_bursts(at, key, ["_at", tie], seconds)
+    bursts = with_bursts(at, key, "_at", seconds)
     ordered = bursts.repartition(key, "burst").sortWithinPartitions(key, "burst", "_at", tie)
     schema = T.StructType([*ordered.schema.fields, T.StructField("admitted", T.BooleanType())])
 
