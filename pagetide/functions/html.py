@@ -108,7 +108,10 @@ def decode_entities(text: Column) -> Column:
 
 def span_tokens(tokens: Column, start: Column, end: Column) -> Column:
     """Tokens strictly between positions ``start`` and ``end`` (1-based)."""
-    return F.slice(tokens, start + 1, F.greatest(end - start - 1, F.lit(0)))
+    # Looked up one by one: inside a lambda, slice() would copy the whole array.
+    low, high = start, F.least(end - 2, F.size(tokens) - 1)
+    inner = F.transform(F.sequence(low, high), lambda i: F.get(tokens, i))
+    return F.when(high >= low, inner).otherwise(F.array().cast("array<string>"))
 
 
 def span_text(tokens: Column, start: Column, end: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
 from pagetide.functions import text as X
-from pagetide.operators.elements import elements
+from pagetide.operators.elements import elements, page_tokens_of
 from pagetide.operators.selectors import in_rank, match, needs_tree
 
 # ---- fixed values ---------------------------------------------------------
@@ -107,7 +107,7 @@ def content_profile(
             "entity_rows": listed(11),
         }
     page = els.groupBy(key).agg(
-        F.first("toks", ignorenulls=True).alias("toks"),
+        page_tokens_of().alias("toks"),
         *[c.alias(n) for n, c in parts.items()],
     )
     body = page.withColumn("body_text", F.array_join(_texts("bodies"), ""))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
-from pagetide.operators.elements import elements
+from pagetide.operators.elements import elements, page_tokens_of
 from pagetide.operators.selectors import match, needs_tree
 from pagetide.session import checkpoint_dir
 
@@ -50,7 +50,7 @@ def _apply(pages: DataFrame, edit: Edit, key: str) -> DataFrame:
     els = match(elements(pages, key, tree=needs_tree([edit.selector])), [edit.selector], key)
     target = F.struct("open", "close", "tag", "token", "attr_names", "attr_values")
     page = els.groupBy(key).agg(
-        F.first("toks", ignorenulls=True).alias("toks"),
+        page_tokens_of().alias("toks"),
         F.collect_list(F.when(F.size("hits") > 0, target)).alias("xs"),
     )
     no_cut, no_text = F.lit(-1), F.lit(None).cast("string")

@@ -245,6 +245,14 @@ def elements(
     return with_attributes(with_tree(spans, key) if tree else spans)
 
 
+def page_tokens_of() -> Column:
+    """Aggregate giving the token array of a page.
+
+    Not ``first``: its buffer is copied for every row of the page.
+    """
+    return F.get(F.collect_list("toks"), F.lit(0))
+
+
 def attach_content(
     els: DataFrame,
     keep: Column,
@@ -261,7 +269,7 @@ def attach_content(
     keys = [key] if isinstance(key, str) else list(key)
     payload = F.struct("open", "close", *[c for c in columns if c not in ("open", "close")])
     grouped = els.groupBy(*keys).agg(
-        F.first("toks", ignorenulls=True).alias("toks"),
+        page_tokens_of().alias("toks"),
         F.collect_list(F.when(keep, payload)).alias("xs"),
     )
 

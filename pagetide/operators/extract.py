@@ -16,7 +16,7 @@ from pagetide.functions import html as H
 from pagetide.functions import text as X
 from pagetide.functions import titles as N
 from pagetide.functions import urls as U
-from pagetide.operators.elements import elements
+from pagetide.operators.elements import elements, page_tokens_of
 from pagetide.operators.selectors import in_rank, match, needs_tree
 
 # ---- fixed values ---------------------------------------------------------
@@ -148,7 +148,7 @@ def listing_cards(
     link = (F.col("href").alias("v"),)
     picture = (F.col("src").alias("v"), F.col("good").alias("good"))
     card = els.groupBy(key).agg(
-        F.first("toks", ignorenulls=True).alias("toks"),
+        page_tokens_of().alias("toks"),
         F.first("box").alias("box"),
         firsts(at_title, len(sel.title), True, F.col("close")).alias("titles"),
         firsts(at_url, len(sel.url), True, *link).alias("urls_in"),
@@ -224,7 +224,7 @@ def detail_pages(
     usable = hero_rank.isNotNull() & (src != "") & U.is_valid_image(src, policy)
     body_hits = F.filter("hits", lambda r: r < len(content))
     grouped = els.groupBy(key).agg(
-        F.first("toks", ignorenulls=True).alias("toks"),
+        page_tokens_of().alias("toks"),
         F.collect_list(
             F.when(F.size(body_hits) > 0, F.struct("open", "close", body_hits.alias("ranks")))
         ).alias("xs"),
