@@ -119,3 +119,56 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower:
         at[todo] += 8
         todo = todo[left > 8]
     return out
+
+
+def pieces(batches, text: str = "text", most: int = 2 << 20):
+    """Arrow batches cut so that the texts of each hold ``most`` bytes or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = joined_bytes(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def held_out(doc_id: Column, folds: int, fold: int) -> Column:
+    """Whether the checksum of the id as text falls into one fold; a null id is '' ."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
+
+
+def clean_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y: one row per labelled document, repeated rows by majority (ties: 1), nulls left out."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
+        (F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
+
+
+def sample_labels(labels: DataFrame, most: int, salt: str) -> DataFrame:
+    """The ``most`` first labels of each class by a hash of the id, as a small frame with the label y."""
+    keyed = labels.withColumn("_h", F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string"))))
+    parts = [keyed.where(F.col("y") == y).orderBy("_h", "doc_id").limit(most) for y in (0, 1)]
+    return parts[0].unionByName(parts[1]).drop("_h")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights (bias first) of a logistic regression by Newton steps on standardised columns."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(x) * np.eye(len(w)) * 1e-2 + 1e-9 * np.eye(len(w))
+        step = np.linalg.solve(h, z.T @ (y - p) - ridge * len(x) * 1e-2 * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    out = w.copy()
+    out[1:] = w[1:] / scale
+    out[0] = w[0] - (w[1:] * mean / scale).sum()
+    return out
+
+
+def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
