@@ -96,6 +96,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     return starts, stops, np.searchsorted(offsets, starts, "right") - 1
 
 
+def first_bytes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each start as one number, A-Z lower-cased, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = _LOWER[data]
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))[starts]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of each word, A-Z lower-cased; equal words have equal hashes.
 
@@ -105,13 +112,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower:
     text = _LOWER[data] if lower else data
     padded = np.zeros(len(text) + 8, np.uint8)
     padded[:len(text)] = text
-    packed = np.lib.stride_tricks.as_strided(padded, (len(text) + 1, 8), (1, 1))
+    packed = np.ndarray((len(text) + 1,), "<u8", padded.data, 0, (1,))  # 8 bytes from every position
     lengths = stops - starts
     out = mixed(lengths.astype(np.uint64) + _BASE)
     todo, at = np.arange(len(starts)), starts.copy()
     while len(todo):
         left = stops[todo] - at[todo]
-        piece = np.ascontiguousarray(packed[at[todo]]).view("<u8").ravel()
+        piece = packed[at[todo]]
         short = left < 8
         keep = np.where(short, (np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1),
                         np.uint64(0xFFFFFFFFFFFFFFFF))
