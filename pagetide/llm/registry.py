@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pagetide.llm import archives, mixing, oracles, secrets, sharding
+from pagetide.llm import archives, jaccard, mixing, neighbours, oracles, quality, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
+    "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_warc": archives.op8_warc,
     "op9_sharding": sharding.op9_sharding,
     "op10_secrets": secrets.op10_secrets,
