@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagetide.llm.common import md5_long, table, word_count
+from pagetide.llm.common import SPACE_CHARS, SPACES, md5_long, table, word_count
 
 BUCKETS = 4096
 ROUNDS = 12
@@ -110,9 +110,13 @@ class Mix:
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE,
     repeats: float = REPEATS, weights: tuple = WEIGHTS, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS,
+    whole: bool = False,
 ) -> Mix:
-    """Plan of the mix. ``block``: words per block; ``shard_blocks``: blocks per output shard."""
+    """Plan of the mix. ``block``: words per block; ``shard_blocks``: blocks per output shard; ``whole``: the
+    plan's rows carry the documents (column ``document``), as ``mixed_documents`` needs them."""
+    carried = [F.struct(*[F.col(c) for c in docs.columns]).alias("document")] if whole else []
     rows = docs.select(
+        *carried,
         F.col(key).alias("doc_id"), F.col(source).alias("source"), source_key(F.col(source)).alias("skey"),
         word_count(F.col(text)).alias("size"),
         (md5_long(F.coalesce(F.col(key).cast("string"), F.lit(""))) % BUCKETS).cast("int").alias("bucket"),
@@ -122,7 +126,7 @@ def mix(
     bases = sums.select("skey", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("skey", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_sum", F.sum("size").over(inside)).join(bases, ["skey", "bucket"]).select(
-        "doc_id", "source", "skey", "size", (F.col("_base") + F.col("_sum") - F.col("size")).alias("start")
+        *(["document"] if whole else []), "doc_id", "source", "skey", "size", (F.col("_base") + F.col("_sum") - F.col("size")).alias("start")
     )
     sources = source_targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("size")), share, repeats, weights)
     n_blocks = F.ceil(F.col("size") / block).cast("long")
@@ -161,6 +165,20 @@ def mix(
     return Mix(placed, sources.select("skey", "source", "size", "weight", "target", "n_blocks", "n_slots"), slots, pieces)
 
 
+def mixed_documents(plan: Mix, text: str = "text") -> DataFrame:
+    """The documents of the mix: a row per document and turn with the words of its drawn blocks, in order.
+
+    Words are joined by single spaces; the other columns stay. Needs a plan with ``whole=True``.
+    """
+    takes = plan.blocks.groupBy("skey", "start", "size", "turn").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b")))).alias("takes"))  # of one document
+    rows = plan.rows.where("size > 0").join(takes, ["skey", "start", "size"])
+    words = F.split(F.btrim(F.col(f"document.{text}"), F.lit(SPACE_CHARS)), f"[{SPACES}]+")
+    cut = F.concat_ws(" ", F.flatten(F.transform("takes", lambda t: F.slice(F.col("_words"), t["a"] + 1, t["b"] - t["a"]))))
+    return rows.withColumn("_words", words).withColumn("_cut", cut).select(
+        *[F.col("_cut").alias(c) if c == text else F.col("document")[c].alias(c) for c in rows.schema["document"].dataType.names])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     return taken_words(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pagetide.llm import archives, jaccard, mixing, neighbours, oracles, quality, secrets, sharding, toxicity
+from pagetide.llm import archives, contamination, jaccard, mixing, neighbours, oracles, quality, secrets, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
+    "op2_contamination": contamination.op2_contamination,
     "op3_quality": quality.op3_quality,
+    "op4_repeats": suffixes.op4_repeats,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_jaccard": jaccard.op7_jaccard,
