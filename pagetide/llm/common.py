@@ -18,6 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folders: list[str] = []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """New folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
@@ -28,8 +31,9 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="pagetide-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own_folders:
+            _own_folders.append("file://" + tempfile.mkdtemp(prefix="pagetide-"))
+        root = _own_folders[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
