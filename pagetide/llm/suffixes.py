@@ -74,7 +74,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     fit = np.maximum(lengths - LENGTH + 1, 0)
     total = int(fit.sum())
     if not total:
-        return {k: np.zeros(0, np.int64) for k in ("row", "pos", "size", "name", "whole", "left", "right", "place")}
+        return {"row": np.zeros(0, np.int64)}
     padded = np.zeros(n + 16, np.uint8)
     padded[:n] = data
     eight = np.ndarray((n + 8,), "<u8", padded.data, 0, (1,)).copy()
@@ -224,9 +224,10 @@ def shared_runs(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             data, offsets = joined_bytes(batch.column("text"))
             run = runs_of(data, offsets)
-            run["doc"] = np.asarray(batch.column("doc"))[run["row"]] if len(run["row"]) else run["row"]
-            held.append(run)
-            size += len(data)
+            if len(run["row"]):
+                run["doc"] = np.asarray(batch.column("doc"))[run["row"]]
+                held.append(run)
+                size += len(data)
             if size >= FLUSH:
                 yield from flush()
                 held, size = [], 0
