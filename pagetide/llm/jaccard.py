@@ -44,7 +44,7 @@ BUCKETS = 1 << 20
 BLOCKS = 64
 #: Bits of the Bloom filter that picks texts for verification.
 BLOOM_BITS = 1 << 24
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +165,17 @@ class Join:
                 mask = np.arange(len(ordered)) - np.repeat(offsets[:-1], n) < np.repeat(size, n)
                 prefix, ends = ordered[mask], np.concatenate([[0], np.cumsum(size)])
                 raw = prefix.astype("<i8").tobytes()
+                last = np.where(size > 0, np.append(prefix, 0)[np.maximum(ends[1:] - 1, 0)], 0).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(n, pa.int64()), pa.array(fold(shingles, offsets)), pa.array(fold(prefix, ends) ^ n),
-                    pa.array([raw[8 * a:8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()),
-                ], ["doc_id", "n", "node", "grp", "prefix"])
+                    pa.array(last), pa.array([raw[8 * a:8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()),
+                ], ["doc_id", "n", "node", "grp", "last", "prefix"])
 
         described = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(
-            describe, "doc_id long, n long, node long, grp long, prefix binary")
+            describe, "doc_id long, n long, node long, grp long, last long, prefix binary")
         described = stored(described, "prefixes")
         self.rows = described.select("doc_id", "n", "node")
-        self.nodes = stored(described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("grp").alias("grp")), "nodes")
+        self.nodes = stored(described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("last").alias("last")), "nodes")
         sizes = self.nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n_nodes"))
         groups = described.where("n > 0").groupBy("grp").agg(F.first("prefix").alias("prefix")).join(sizes, "grp")
 
@@ -219,7 +220,11 @@ class Join:
 
         postings = groups.select("grp", "n_nodes", "prefix").mapInArrow(unpack, "token long, grp long, n_nodes long")
         lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(shared, "token long, grp long")
-        self.lists = stored(lists.join(self.nodes.select("grp", "node", "n"), "grp").select("token", "node", "n"), "lists")
+        lists = stored(lists.join(self.nodes.select("grp", "node", "n", "last"), "grp").select("token", "node", "n", "last"), "lists")
+        # No set holds more in common with another than its listed prefix shingles and all behind its prefix.
+        listed = lists.groupBy("node").agg(F.count(F.lit(1)).alias("listed"))
+        cap = F.col("listed") + needed(F.col("n"), threshold) - 1
+        self.lists = stored(lists.join(listed, "node").select("token", "node", F.struct("n", "last", cap.alias("cap")).alias("s")), "lists")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
@@ -233,31 +238,37 @@ class Join:
         every = Window.partitionBy("token")
         return lists.withColumns({"_a": F.min("comp").over(every), "_b": F.max("comp").over(every)}).where("_a <> _b").drop("_a", "_b")
 
-    def allowed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, na, b, nb, c) whose sizes and common prefix shingles can reach the threshold.
+    def possible(self, a: Column, b: Column, common: Column | None = None) -> Column:
+        """Whether two sets (n, last, cap) can reach the threshold, given the number of common prefix shingles if known.
 
-        Up to the end of the prefix that ends first, all common shingles are among the c; behind it
-        at most the rest of that set is common.
+        Up to the end of the prefix that ends first, common shingles stand in both prefixes, so in a list; of the
+        set with that prefix, what is common lies there or behind. Sizes have to agree as well.
         """
         up, down = self.threshold.numerator, self.threshold.denominator
-        least = F.ceil((F.col("na") + F.col("nb")) * up / (up + down)).cast("long")
-        rest = F.greatest(needed(F.col("na"), self.threshold), needed(F.col("nb"), self.threshold)) - 1
-        return pairs.where((F.least("na", "nb") * down >= F.greatest("na", "nb") * up) & (F.col("c") + rest >= least))
+        least = F.floor(((a["n"] + b["n"]) * up + up + down - 1) / (up + down)).cast("long")
+        first = a["last"] <= b["last"]
+        most = F.when(first, a["cap"]).otherwise(b["cap"])
+        sizes = F.least(a["n"], b["n"]) * down >= F.greatest(a["n"], b["n"]) * up
+        if common is not None:
+            most = F.least(most, common + needed(F.when(first, a["n"]).otherwise(b["n"]), self.threshold) - 1)
+        return sizes & (most >= least)
 
     def star_pairs(self, turn: int) -> DataFrame:
-        mark = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-        leader = F.min(F.struct(mark.alias("m"), "node", "n", "comp")).over(Window.partitionBy("token"))
-        rows = self.labelled().withColumn("_l", leader).where("_l.comp <> comp")
-        return self.allowed(rows.groupBy(F.col("_l.node").alias("a"), F.col("_l.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("c")))
+        """Each list's nodes with one leader: first the one whose prefix is listed most, later any."""
+        share = (F.col("s.cap") - F.col("s.n")) / F.col("s.n")
+        mark = F.xxhash64("node", F.lit(turn)).cast("double") if turn else -share
+        leader = F.min(F.struct(mark.alias("m"), "node", "s", "comp")).over(Window.partitionBy("token"))
+        rows = self.labelled().withColumn("_l", leader).where("_l.comp <> comp").where(self.possible(F.col("_l.s"), F.col("s")))
+        pairs = rows.groupBy(F.col("_l.node").alias("a"), F.col("_l.s").alias("x"), F.col("node").alias("b"), F.col("s").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+        return pairs.where(self.possible(F.col("x"), F.col("y"), F.col("c")))
 
     def cross_pairs(self) -> DataFrame:
         lists = stored(self.labelled(), "cross")
-        up, down = self.threshold.numerator, self.threshold.denominator
-        x = lists.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = lists.select(F.col("token").alias("_t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        on = (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (
-            F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
-        return self.allowed(x.join(y, on).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")))
+        x = lists.select("token", F.col("node").alias("a"), F.col("s").alias("x"), F.col("comp").alias("ca"))
+        y = lists.select(F.col("token").alias("_t"), F.col("node").alias("b"), F.col("s").alias("y"), F.col("comp").alias("cb"))
+        on = (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.possible(F.col("x"), F.col("y"))
+        pairs = x.join(y, on).groupBy("a", "x", "b", "y").agg(F.count(F.lit(1)).alias("c"))
+        return pairs.where(self.possible(F.col("x"), F.col("y"), F.col("c")))
 
     def fetch(self, pairs: DataFrame) -> None:
         """Sets of the pairs' nodes that aren't there yet."""
