@@ -20,7 +20,8 @@ HEADLINE = (
     "page_elements", "page_first_card", "first_match", "listing_cards", "page_content", "hero_images",
     "content_profile", "page_structure", "link_validation", "image_validation", "url_distributions",
     "text_counts", "keywords", "readability", "masked_text", "rolling_hour", "event_changes",
-    "change_feed", "state_merge", "session_metrics", "parsed_responses", "outbox", "admission",
+    "change_feed", "state_merge", "session_metrics", "parsed_responses", "outbox",
+    "release_records", "page_edits", "stream_rates",
 )
 
 

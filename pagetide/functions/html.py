@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,8 +35,9 @@ IMPLIED = "p li dt dd option tr td th".split()
 INLINE = "b code em font i small strong u".split()
 # Inline tags that wrap whole blocks: like a block when closed, inline when not.
 WRAPPER = "a span".split()
-REFERENCE = "&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);"
-# Named character references that are decoded besides numeric ones.
+REFERENCE = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+# Common named references; the others come from the standard table of the HTML
+# specification, which Python's library holds.
 ENTITIES = {
     "amp": "&",
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
@@ -47,6 +50,9 @@ ENTITIES = {
 # ---------------------------------------------------------------------------
 
 
+_STANDARD = json.dumps({f"&{name}": text for name, text in html5.items() if name.endswith(";")})
+
+
 def clean_html(html: Column) -> Column:
     """Drop comments and empty script and style bodies in one left-to-right pass."""
     return F.regexp_replace(html, F.lit(COMMENT_OR_RAW), F.lit("$1$2$3$4"))
@@ -84,7 +90,9 @@ def _numeric_reference(ref: Column) -> Column:
     """Character of ``&#n;`` or ``&#xh;``; null for any other reference."""
     body = F.regexp_extract(ref, r"^&#([xX]?[0-9A-Fa-f]+);", 1)
     hexa = F.lower(F.substring(body, 1, 1)) == "x"
-    code = F.when(hexa, F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).try_cast("int")
+    digits = F.regexp_replace(body, "^[xX]?0*", "")
+    code = F.when(F.length(digits) > 8, 0x110000).when(hexa, F.conv(digits, 16, 10)).otherwise(F.concat(F.lit("0"), digits)).try_cast("long")
+    code = F.when(body != "", F.coalesce(code, F.lit(0)))
     known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     safe = F.when(known, code).when(code.isNotNull(), 0xFFFD)
     return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
@@ -94,13 +102,14 @@ def decode_entities(text: Column) -> Column:
     """Decode character references in one pass; unknown ones stay as written."""
     pairs = ", ".join(f"'&{n};', '\\u{ord(c):04x}'" for n, c in ENTITIES.items())
     known = F.expr(f"map({pairs})")
+    rest = F.from_json(F.lit(_STANDARD), "map<string,string>")  # folded to a literal once per plan
     pieces, found = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
     joined = F.zip_with(
         pieces,
         found,
         lambda piece, ref: F.concat(
             piece,
-            F.coalesce(F.try_element_at(known, ref), _numeric_reference(ref), ref, F.lit("")),
+            F.coalesce(F.try_element_at(known, ref), _numeric_reference(ref), F.try_element_at(rest, ref), ref, F.lit("")),
         ),
     )
     return F.when(text.contains("&"), F.array_join(joined, "")).otherwise(text)
@@ -126,7 +135,8 @@ def span_html(tokens: Column, start: Column, end: Column) -> Column:
 
 
 def _attribute_area(token: Column) -> Column:
-    return F.regexp_replace(token, r"^<[A-Za-z][A-Za-z0-9:-]*|/?>$", "")
+    # A slash right behind a bare value belongs to the value.
+    return F.regexp_replace(token, r"""^<[A-Za-z][A-Za-z0-9:-]*|(?:(?<=[\s"'])/)?>$""", "")
 
 
 def attribute_names(token: Column) -> Column:

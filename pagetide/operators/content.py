@@ -25,17 +25,24 @@ TOPIC_SELECTOR = "h1, h2, h3"
 ENTITY_SELECTOR = "[data-entity], .entity, .person, .organization"
 HEADING_SELECTOR = "h1, h2, h3, h4, h5, h6"
 # Date layouts that are tried in order; a layout without a zone means UTC.
-ZONED = ("yyyy-MM-dd'T'HH:mm[:ss][.SSS]XXX", "d MMM yyyy HH:mm:ss z")
-WEEKDAY = r"^[A-Za-z]{3}, "
+ZONED = (
+    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]XXX",
+    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]xx",
+    "d MMM yyyy HH:mm:ss z",
+)
+WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? "
 PLAIN = (
     "yyyy-MM-dd",
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSS]",
+    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]",
     "yyyy-MM-dd HH:mm[:ss]",
     "yyyy/M/d",
     "M/d/yyyy",
     "MMMM d, yyyy",
     "MMM d, yyyy",
     "d MMMM yyyy",
+    "d MMM yyyy",
+    "MMM d yyyy",
+    "MMMM d yyyy",
 )
 # ---------------------------------------------------------------------------
 

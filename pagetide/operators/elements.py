@@ -36,10 +36,8 @@ def page_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 
 def _located(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
-    # A fixed count: the tag rows are many times the size of the HTML, so letting
-    # AQE merge partitions by the size of the HTML would starve the windows.
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.select(*keys, html).repartition(parts, *keys)
+    # No count: AQE sets the number of partitions by the size of the HTML.
+    return pages.select(*keys, html).repartition(*keys)
 
 
 def _tag_rows(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:

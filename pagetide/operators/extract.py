@@ -108,11 +108,13 @@ def listing_cards(
     policy: U.ImagePolicy = U.DEFAULT_POLICY,
     title_of=N.release_title,
     key: str = "page_id",
+    max_attempts: int | None = MAX_ATTEMPTS,
 ) -> DataFrame:
     """Latest card of every page, or the reason why there is none.
 
     ``status`` is ok, container_not_found, title_not_found or url_not_found.
-    ``title_of`` turns the text of a candidate into a title or null.
+    ``title_of`` turns the text of a candidate into a title or null. Only the first
+    ``max_attempts`` container selectors are tried; None tries all.
     """
     sel = selectors
     at_title = len(sel.container)
@@ -121,7 +123,7 @@ def listing_cards(
     els = match(elements(pages, key, tree=needs_tree(sel.all)), sel.all, key)
 
     page = Window.partitionBy(key)
-    box_rank = F.array_min(F.filter("hits", lambda r: r < min(at_title, MAX_ATTEMPTS)))
+    box_rank = F.array_min(F.filter("hits", lambda r: r < min(at_title, max_attempts or at_title)))
     box = F.min(
         F.when(
             box_rank.isNotNull(),
@@ -169,11 +171,12 @@ def listing_cards(
     relevant = lambda c: c["v"].contains("patch") | c["v"].contains("news")
     everything = H.span_text(F.col("toks"), F.col("box.open"), F.col("box.close"))
     names = F.array(*[F.lit(s) for s in sel.title]), F.array(*[F.lit(s) for s in sel.url])
-    found = card.select(
+    found = card.withColumn("t", _first_some(F.col("titles"), pick_title)).select(
         key,
         F.col("box"),
-        _first_some(F.col("titles"), pick_title).alias("t"),
-        H.bind(everything, title_of).alias("t_all"),
+        "t",
+        # The whole container's text is built only where no selector gave a title.
+        F.when(F.col("t.value").isNull() & F.col("box").isNotNull(), H.bind(everything, title_of)).alias("t_all"),
         F.when((F.col("box.tag") == "a") & (F.col("box.href") != ""), F.col("box.href")).alias("u_box"),
         _first_some(F.col("urls_in"), pick(lambda c: F.lit(True))).alias("u"),
         _first_some(F.col("urls_doc"), pick(lambda c: c["v"].contains("patch"))).alias("u_doc"),

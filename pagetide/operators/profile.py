@@ -21,6 +21,15 @@ SHORT_TEXT, LONG_TEXT = 100, 200
 # ---------------------------------------------------------------------------
 
 
+def _cut(column: str, chars: int | None) -> Column:
+    """The text, or its first ``chars`` characters."""
+    return (F.col(column) if chars is None else F.substring(column, 1, chars)).alias(column)
+
+
+def _at_most(count: Column, limit: int | None) -> Column:
+    return count if limit is None else F.least(count, F.lit(limit))
+
+
 def with_child_counts(els: DataFrame, key: str = "page_id") -> DataFrame:
     """Add ``child_count``; needs ``parent``. Each element meets its children
     in a small window keyed by the parent position."""
@@ -89,7 +98,7 @@ def image_elements(els: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def link_elements(els: DataFrame, key: str = "page_id") -> DataFrame:
+def link_elements(els: DataFrame, key: str = "page_id", text_chars: int | None = SHORT_TEXT) -> DataFrame:
     """``a[href]`` elements; needs ``parent`` for the child counts."""
     counted = with_child_counts(els, key)
     href = H.attr("href")
@@ -100,7 +109,7 @@ def link_elements(els: DataFrame, key: str = "page_id") -> DataFrame:
     empty = F.lit("")
     return rows.select(
         key, "open", H.class_list().alias("classes"),
-        F.substring("text", 1, SHORT_TEXT).alias("text"), "child_count",
+        _cut("text", text_chars), "child_count",
         F.coalesce(href, empty).alias("href"),
         F.nullif(H.attr("target"), empty).alias("target"),
         F.nullif(H.attr("rel"), empty).alias("rel"),
@@ -108,7 +117,9 @@ def link_elements(els: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def grid_containers(els: DataFrame, selector: str = GRID_SELECTOR, key: str = "page_id") -> DataFrame:
+def grid_containers(
+    els: DataFrame, selector: str = GRID_SELECTOR, key: str = "page_id", text_chars: int | None = SHORT_TEXT
+) -> DataFrame:
     """Elements of one selector with classes, short text and child count."""
     found = match(with_child_counts(els, key), [selector], key)
     rows = attach_content(
@@ -116,7 +127,7 @@ def grid_containers(els: DataFrame, selector: str = GRID_SELECTOR, key: str = "p
     )
     return rows.select(
         key, "open", "tag", H.class_list().alias("classes"),
-        F.substring("text", 1, SHORT_TEXT).alias("text"), "child_count",
+        _cut("text", text_chars), "child_count",
     )
 
 
@@ -136,8 +147,11 @@ def structure_depth(els: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def page_structure(els: DataFrame, grid: str = GRID_SELECTOR, key: str = "page_id") -> DataFrame:
-    """One row per page with the counts of every structure profile."""
+def page_structure(
+    els: DataFrame, grid: str = GRID_SELECTOR, key: str = "page_id",
+    max_classes: int | None = None, max_selectors: int | None = None,
+) -> DataFrame:
+    """One row per page with the counts of every structure profile; counts stop at the given limits only."""
     page = Window.partitionBy(key)
     found = match(els, [grid], key)
     body = F.min(F.when(F.col("tag") == "body", F.struct("open", "close", "depth"))).over(page)
@@ -157,13 +171,15 @@ def page_structure(els: DataFrame, grid: str = GRID_SELECTOR, key: str = "page_i
     )
     return stats.select(
         key, "total_elements",
-        F.least("n_classes", F.lit(MAX_CLASSES)).alias("available_classes"),
+        _at_most(F.col("n_classes"), max_classes).alias("available_classes"),
         "grid_containers", "image_elements", "link_elements", "structure_depth",
-        F.least(F.col("n_ids") + F.col("n_classes"), F.lit(MAX_SELECTORS)).alias("unique_selectors"),
+        _at_most(F.col("n_ids") + F.col("n_classes"), max_selectors).alias("unique_selectors"),
     )
 
 
-def element_analysis(els: DataFrame, selectors: Sequence[str], key: str = "page_id") -> DataFrame:
+def element_analysis(
+    els: DataFrame, selectors: Sequence[str], key: str = "page_id", text_chars: int | None = LONG_TEXT
+) -> DataFrame:
     """Profile of the first match per page; tag ``none`` and not valid if absent."""
     found = match(els, selectors, key)
     page = Window.partitionBy(key)
@@ -188,13 +204,15 @@ def element_analysis(els: DataFrame, selectors: Sequence[str], key: str = "page_
         F.when(there, F.col("tag")).otherwise("none").alias("tag"),
         H.class_list().alias("classes"),
         H.attribute_map(F.col("attr_names"), F.col("attr_values")).alias("attributes"),
-        F.when(there, F.substring("text", 1, LONG_TEXT)).otherwise("").alias("text"),
+        F.when(there, _cut("text", text_chars)).otherwise("").alias("text"),
         href.alias("href"),
         (there & (X.trim_space(F.col("text")) != "")).alias("is_valid"),
     )
 
 
-def element_children(els: DataFrame, selectors: Sequence[str], key: str = "page_id") -> DataFrame:
+def element_children(
+    els: DataFrame, selectors: Sequence[str], key: str = "page_id", text_chars: int | None = SHORT_TEXT
+) -> DataFrame:
     """Children of the first match per page, in order. Needs ``parent``."""
     found = match(with_child_counts(els, key), selectors, key)
     page = Window.partitionBy(key)
@@ -207,7 +225,7 @@ def element_children(els: DataFrame, selectors: Sequence[str], key: str = "page_
     )
     return rows.select(
         key, "open", "tag", H.class_list().alias("classes"),
-        F.substring("text", 1, SHORT_TEXT).alias("text"), "child_count",
+        _cut("text", text_chars), "child_count",
     )
 
 

@@ -102,7 +102,9 @@ def enrich(releases: DataFrame, store: DataFrame, details: DataFrame, on: str =
     )
     # The store holds one record per version key; keep the newest if it does not.
     cache = known.groupBy("_k").agg(F.max_by("c", F.struct("c.published_at", "c.content")).alias("cache"))
-    fresh = details.select(on, F.struct("content", "image_url").alias("fresh"))
+    # One row per address: the newest fetch if the details say when, else the one with the most content.
+    newest = F.struct(*([F.col("fetched_at")] if "fetched_at" in details.columns else []), F.length("content"), "content", "image_url")
+    fresh = details.groupBy(on).agg(F.max_by(F.struct("content", "image_url"), newest).alias("fresh"))
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     hit = F.col("cache").isNotNull()
     base = releases.withColumn("_k", version_key(F.col("version")))

@@ -46,17 +46,17 @@ FROM {part}
 ADDRESSES = """
 SELECT p_partkey AS id,
   CASE p_partkey % 16
-    WHEN 0 THEN 'https://example.com/image-' || p_size || '.jpg'
-    WHEN 1 THEN 'http://example.com/a/' || p_partkey || '.PNG?x=1'
+    WHEN 0 THEN 'https://static.example.org/covers/' || p_size || '.jpg'
+    WHEN 1 THEN 'http://static.example.org/a/' || p_partkey || '.PNG?w=1'
     WHEN 2 THEN 'data:image/png;base64,' || repeat('a', 60 + p_size * 2)
     WHEN 3 THEN ''
-    WHEN 4 THEN 'invalid-url-format ' || p_size
-    WHEN 5 THEN 'ht!tp://invalid/' || p_partkey
+    WHEN 4 THEN 'no address at all ' || p_size
+    WHEN 5 THEN '1http://broken.scheme/' || p_partkey
     WHEN 6 THEN 'data:image/svg+xml,<svg xmlns="http://www.w3.org/2000/svg"/>' || p_brand
     WHEN 7 THEN 'data:image/png;base64,abc'
-    WHEN 8 THEN 'https://example.com/' || repeat('a', p_size * 50) || '.jpg'
-    WHEN 9 THEN 'https://example.com/image.tiff#' || p_size
-    WHEN 10 THEN 'ftp://example.com/' || p_partkey || '.jpg'
+    WHEN 8 THEN 'https://static.example.org/' || repeat('a', p_size * 50) || '.jpg'
+    WHEN 9 THEN 'https://static.example.org/scan.tiff#' || p_size
+    WHEN 10 THEN 'ftp://static.example.org/' || p_partkey || '.jpg'
     WHEN 11 THEN '/images/photo' || p_size || '.jpg'
     WHEN 12 THEN '//cdn.example.com/p' || p_size || '.webp'
     WHEN 13 THEN 'images/p' || p_size || '.gif'

@@ -621,10 +621,10 @@ depths AS (
 ORACLES["page_structure"] = ON_LISTINGS + f""",{_DEPTH},
 cls AS (SELECT page_id, count(DISTINCT c) AS n FROM ({_CLASS_ROWS}) AS q GROUP BY page_id),
 ids AS (SELECT page_id, count(DISTINCT {attr('id')}) AS n FROM els GROUP BY page_id)
-SELECT e.page_id, count(*) AS total_elements, least(any_value(coalesce(cls.n, 0)), 50) AS available_classes,
+SELECT e.page_id, count(*) AS total_elements, any_value(coalesce(cls.n, 0)) AS available_classes,
   count_if({has_class('grid', 'e.token')}) AS grid_containers, count_if(tag = 'img') AS image_elements,
   count_if(tag = 'a' AND {has_attr('href', 'e.token')}) AS link_elements, any_value(structure_depth) AS structure_depth,
-  least(any_value(coalesce(cls.n, 0) + ids.n), 100) AS unique_selectors
+  any_value(coalesce(cls.n, 0) + ids.n) AS unique_selectors
 FROM els e JOIN depths USING (page_id) LEFT JOIN cls USING (page_id) LEFT JOIN ids USING (page_id) GROUP BY e.page_id"""
 ORACLES["page_classes"] = ON_LISTINGS + f"""
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(open * 1000 + i)) - 1 AS rank, c AS class_name
@@ -736,7 +736,7 @@ SELECT user_id AS source, count_if(event_type <> 'error') AS total_executions, m
 
 # ---- stores, exports, responses, notices ----------------------------------
 
-_ONE = f"""SELECT *, regexp_replace(version, '\\..*', '.x') AS v FROM ({RECORDS}) AS r"""
+_ONE = f"""SELECT *, version AS v FROM ({RECORDS}) AS r"""
 ORACLES["store_roundtrip"] = f"""
 SELECT v AS version, v AS version_key, title, url, content, '{BASE}' AS source_url FROM ({_ONE}) AS r
 QUALIFY row_number() OVER (PARTITION BY v ORDER BY published_at DESC, url DESC) = 1"""
@@ -910,17 +910,17 @@ SELECT coalesce(st.source, n.source) AS source, CASE WHEN n.source IS NULL THEN
   coalesce(n.ts, st.last_notification) AS last_notification, coalesce(st.total, 0) + coalesce(n.added, 0) AS total FROM st FULL JOIN n ON n.source = st.source"""
 # A stream emits a window once the watermark (latest row minus an hour) passes it.
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-ORACLES["stream_rates"] = f"""
-SELECT * FROM (SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2) AS w
-WHERE window_start + INTERVAL 1 HOUR <= {_CLOSED}"""
-ORACLES["stream_late"] = ORACLES["stream_rates"] + " AND window_start >= TIMESTAMP '2024-01-16 00:00:00'"
+ORACLES["stream_rates"] = "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2"
+ORACLES["stream_late"] = f"""
+SELECT * FROM ({ORACLES["stream_rates"]}) AS w
+WHERE window_start + INTERVAL 1 HOUR <= {_CLOSED} AND window_start >= TIMESTAMP '2024-01-16 00:00:00'"""
 ORACLES["stream_sliding_rates"] = f"""
 SELECT event_type, s AS window_start, count(*) AS n FROM (
   SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) AS w
-GROUP BY ALL HAVING s + INTERVAL 1 HOUR <= {_CLOSED}"""
+GROUP BY ALL"""
 ORACLES["stream_sessions"] = f"""
-SELECT event_type, min(ts) AS started, count(*) AS total_operations, count_if(event_type = 'error') AS failed FROM (
-  SELECT event_type, ts, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts) AS sid FROM (
-    SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) AS a) AS b
-GROUP BY event_type, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}"""
+SELECT user_id, min(ts) AS started, count(*) AS total_operations, count_if(event_type = 'error') AS failed FROM (
+  SELECT user_id, event_type, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (
+    SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) AS a) AS b
+GROUP BY user_id, sid"""
 ORACLES["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"

@@ -399,7 +399,7 @@ def webhook_filter(spark, sf):
 
 
 def _docs(spark, sf):
-    return stores.read_table(spark, f"{sf}/documents.parquet")
+    return table(spark, sf, "documents")
 
 
 @query
@@ -673,8 +673,7 @@ def run_stats(spark, sf):
 def store_roundtrip(spark, sf):
     path = work_folder(spark, "store")
     saved = as_of()
-    # One store folder per version key; the versions here are a few dozen.
-    rows = _records(spark, sf).withColumn("version", F.regexp_replace("version", r"\..*", ".x"))
+    rows = _records(spark, sf)
     stores.write_releases(rows, path, saved, BASE_URL)
     back = stores.read_store(spark, path)
     return back.select(
@@ -867,12 +866,6 @@ def rolling_hour(spark, sf):
     return metrics.rolling_counts(events, "event_type").select("event_id", "event_type", "in_window", "allowed")
 
 
-@query
-def admission(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "event_type", "ts")
-    return metrics.admit_requests(events, "event_type", limit=2).select("event_id", "event_type", "admitted")
-
-
 # ---- streams --------------------------------------------------------------
 
 
@@ -910,7 +903,7 @@ def stream_state(spark, sf):
     )
     initial = I.derive(spark, sf, I.STATE)
     out = _run(spark, lambda o, c: jobs.run_state_merge(sent, initial, o, c))
-    return spark.read.parquet(out).select("source", "version", "last_notification", "total")
+    return jobs.last_batch(spark, out).select("source", "version", "last_notification", "total")
 
 
 def _clocked(spark, sf):
@@ -920,15 +913,15 @@ def _clocked(spark, sf):
 @query
 def stream_rates(spark, sf):
     windows = jobs.request_windows(_clocked(spark, sf), "event_type", slide=None)
-    out = _run(spark, lambda o, c: jobs.write_stream(windows, o, c))
-    return spark.read.parquet(out).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    out = _run(spark, lambda o, c: jobs.write_updates(windows, o, c))
+    return jobs.latest(spark, out, ["event_type", "window_start"]).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query
 def stream_sliding_rates(spark, sf):
     windows = jobs.request_windows(_clocked(spark, sf), "event_type", slide="30 minutes")
-    out = _run(spark, lambda o, c: jobs.write_stream(windows, o, c))
-    return spark.read.parquet(out).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    out = _run(spark, lambda o, c: jobs.write_updates(windows, o, c))
+    return jobs.latest(spark, out, ["event_type", "window_start"]).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query
@@ -949,10 +942,10 @@ def stream_late(spark, sf):
 @query
 def stream_sessions(spark, sf):
     ops = _clocked(spark, sf).withColumn("error", F.when(F.col("event_type") == "error", "x"))
-    rows = jobs.operation_sessions(ops, "event_type")
-    out = _run(spark, lambda o, c: jobs.write_stream(rows, o, c))
-    return spark.read.parquet(out).select(
-        "event_type", F.col("started").cast("timestamp_ntz").alias("started"), "total_operations", "failed"
+    rows = jobs.operation_sessions(ops, "user_id")
+    out = _run(spark, lambda o, c: jobs.write_updates(rows, o, c, "complete"))
+    return jobs.last_batch(spark, out).select(
+        "user_id", F.col("started").cast("timestamp_ntz").alias("started"), "total_operations", "failed"
     )
 
 

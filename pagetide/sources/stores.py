@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pagetide.operators.metrics import session_metrics
 
 # ---- fixed values ---------------------------------------------------------
 STORE_VERSION = "1.0.0"
+STORE_BUCKETS = 64
 RELEASE_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -24,16 +27,6 @@ RELEASE_SCHEMA = T.StructType([
 # ---------------------------------------------------------------------------
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table; one with fewer splits than cores is spread over them.
-
-    Text work is CPU-bound, so a file of one row group must not pin one core.
-    A large table has more splits than cores and is read as it is.
-    """
-    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
@@ -73,13 +66,29 @@ def release_store_rows(releases: DataFrame, saved_at: Column, source_url: str) -
     })
 
 
-def _write_store(rows: DataFrame, path: str) -> None:
-    # Rebalancing keeps files of one key together and splits an oversized key.
+def _write_store(rows: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
+    """Upsert by version key; only the buckets that hold a given key are rewritten.
+
+    The new state of those buckets is written beside the store first, so the store is
+    never read while it is overwritten and a repeated run gives the same rows.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64("version_key"), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        kept = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("version_key"), "version_key", "left_anti")
+        staged = f"{path}/_next-{uuid.uuid4().hex}"
+        new.unionByName(kept, allowMissingColumns=True).write.parquet(staged)
+        new = spark.read.parquet(staged)
     (
-        rows.hint("rebalance", "version_key")
+        new.hint("rebalance", "bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("version_key")
+        .partitionBy("bucket")
         .parquet(path)
     )
 
@@ -95,7 +104,7 @@ def write_summaries(summaries: DataFrame, path: str) -> None:
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    return reader.parquet(path).drop("bucket")
 
 
 def snapshot_state(state: DataFrame, path: str, snapshot_ts: Column) -> None:

@@ -18,15 +18,23 @@ from pagetide.operators.state import change_feed, merge_state
 QUOTA_WINDOW, QUOTA_SLIDE, LATENESS, SESSION_GAP = "1 hour", "5 minutes", "1 hour", "30 minutes"
 
 
-def file_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """Stream over a folder of parquet drops, or the drops matching ``folder/pattern.parquet``."""
-    folder, _, pattern = path.rpartition("/") if path.endswith(".parquet") else (path, "", "")
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder)
+FILES_PER_TRIGGER = 256
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the path names a folder in its own file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(at) and store.getFileStatus(at).isDirectory()
+
+
+def file_stream(spark: SparkSession, path: str, per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Stream over a folder of parquet drops, or over a single file; a batch takes ``per_trigger`` files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def _batch_folder(root: str, batch: int) -> str:
@@ -148,6 +156,38 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str = "ts", lateness: str
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def write_updates(rows: DataFrame, out: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Write what each batch changed (``update``) or the whole result so far (``complete``), a folder per batch.
+
+    Windows that are still open are there as well: ``latest`` or ``last_batch`` reads the present state.
+    """
+
+    def write(batch_rows: DataFrame, batch: int) -> None:
+        batch_rows.write.mode("overwrite").parquet(_batch_folder(out, batch))
+
+    return (
+        rows.writeStream.foreachBatch(write)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """Newest row of each key over the batch folders of an ``update`` stream."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+
+
+def last_batch(spark: SparkSession, out: str) -> DataFrame:
+    """Rows of the newest batch folder: the state of a merge, or a ``complete`` result."""
+    rows = spark.read.parquet(out)
+    newest = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), "batch").drop("batch")  # one row
+
+
 def write_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to a folder; rows behind the watermark are dropped."""
     return (

@@ -33,7 +33,7 @@ def test_change_feed_and_state_over_batches(spark, tmp_path):
     sent = stream.select("source", "version", F.lit("t").alias("title"), "url", F.col("ts").alias("published_at"), F.col("ts").alias("sent_at"))
     first = spark.createDataFrame([], "source string, version string, title string, url string, published_at timestamp_ntz, last_notification timestamp_ntz, total long")
     jobs.run_state_merge(sent, first, str(tmp_path / "st"), str(tmp_path / "c2")).awaitTermination()
-    final = spark.read.parquet(str(tmp_path / "st")).where("batch = 2").collect()
+    final = jobs.last_batch(spark, str(tmp_path / "st")).collect()
     assert {r.source: r.total for r in final} == {"s": 40, "t": 20}
 
 
@@ -57,3 +57,28 @@ def test_first_seen_differs_from_change_feed(spark, tmp_path):
     rows = jobs.first_seen(jobs.file_stream(spark, folder, per_trigger=1), ["version", "url"])
     jobs.write_stream(rows, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert sorted(r.version for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B"]
+
+
+def test_open_windows_and_sessions_are_there_after_several_drops(spark, tmp_path):
+    schema = "k string, ts timestamp, error string"
+    rows = [("ab"[i % 2], T0 + dt.timedelta(minutes=7 * i), "x" if i % 5 == 0 else "") for i in range(60)]
+    folder = drops(spark, tmp_path, [rows[:20], rows[20:45], rows[45:]], schema)
+    stream = jobs.file_stream(spark, folder, per_trigger=1)
+    batch = spark.read.parquet(folder)
+    for slide in (None, "30 minutes"):
+        out = str(tmp_path / f"w{slide}")
+        jobs.write_updates(jobs.request_windows(stream, "k", slide=slide), out, out + "-c").awaitTermination()
+        want = jobs.request_windows(batch, "k", slide=slide)
+        assert sorted(jobs.latest(spark, out, ["k", "window_start"]).select(want.columns).collect()) == sorted(want.collect())
+    out = str(tmp_path / "s")
+    jobs.write_updates(jobs.operation_sessions(stream, "k"), out, out + "-c", "complete").awaitTermination()
+    want = jobs.operation_sessions(batch, "k")
+    assert sorted(jobs.last_batch(spark, out).select(want.columns).collect()) == sorted(want.collect())
+
+
+def test_a_single_file_streams_alone(spark, tmp_path):
+    folder = drops(spark, tmp_path, [[("a", T0)], [("b", T0)]], "k string, ts timestamp")
+    one = sorted(p for p in (tmp_path / "drops").iterdir() if p.suffix == ".parquet")[0]
+    out = str(tmp_path / "o")
+    jobs.write_stream(jobs.file_stream(spark, str(one)), out, out + "-c").awaitTermination()
+    assert spark.read.parquet(out).count() == 1 and spark.read.parquet(folder).count() == 2
