@@ -131,8 +131,8 @@ def _packed(name: np.ndarray, parts: list[np.ndarray]) -> bytes:
 
     low = np.ascontiguousarray(name.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
     doc = parts[1]
-    base = int(doc.min())
-    small = int(doc.max()) - base < 1 << 32
+    small = int(doc.max()) - int(doc.min()) < 1 << 32
+    base = int(doc.min()) if small else 0
     doc = (doc - base).astype("<u4") if small else doc.astype("<i8")
     body = [np.array([len(name), base, small], "<i8").tobytes(), low.tobytes(), parts[0].astype("<u8").tobytes(), doc.tobytes(), parts[2].astype("<u4").tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(body + [x.astype("u1").tobytes() for x in parts[3:]]))
