@@ -18,8 +18,7 @@ LENGTH - 32; Spark sorts by (pair, document) and a pass over the sorted rows kee
 whose pair stands in a smaller document.
 
 The result is exact up to collisions of 64-bit hashes. Memory: a round 1 partition holds its
-runs (26 bytes each), so spark.sql.shuffle.partitions has to grow with the input; copies of
-a run inside one task's flush are settled there. Texts move only for documents with hits,
+runs (26 bytes each), so spark.sql.shuffle.partitions has to grow with the input. Texts move only for documents with hits,
 compressed; a Bloom filter of fixed size finds those.
 
 Rows: null text is empty; null doc_id counts as larger than every other; rows of one doc_id
@@ -35,13 +34,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import joined_bytes, mixed, pieces, stored, table
+from pagetide.llm.common import joined_bytes, mixed, pieces, release, stored, table
 
 LENGTH = 50
 GRAM = 16
 SIDE = 17
 MOST_RUN = 64
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 BLOOM_BITS = 1 << 24
 LAST = (1 << 63) - 1
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -221,7 +220,7 @@ def shared_runs(docs: DataFrame) -> DataFrame:
                     pa.array([_packed(cols[0][edges[b]:edges[b + 1]], [c[edges[b]:edges[b + 1]] for c in cols[1:]]) for b in full], pa.binary()),
                 ], ["bucket", "runs"])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=1 << 20):
             data, offsets = joined_bytes(batch.column("text"))
             run = runs_of(data, offsets)
             if len(run["row"]):
@@ -293,7 +292,7 @@ def touched(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def window_names(packed: DataFrame, going: DataFrame) -> DataFrame:
-    """Round 3 rows: the pair of names of each window left."""
+    """Round 3 rows: each window left with the name of its pair of names."""
     lists = going.groupBy("doc").agg(F.collect_list(F.struct("pos", "size")).alias("at"))  # of one document
 
     def name(batches: Iterator) -> Iterator:
@@ -310,31 +309,31 @@ def window_names(packed: DataFrame, going: DataFrame) -> DataFrame:
                 each = np.unique(each[each <= len(data) - LENGTH])  # rows of one id share the list
                 if len(each):
                     sums, half = Hashes(data), 32
+                    pair = mixed(sums.of(each, half) ^ mixed(sums.of(each + LENGTH - half, half)))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(sums.of(each, half).astype(np.int64)), pa.array(sums.of(each + LENGTH - half, half).astype(np.int64)),
-                        pa.array(np.full(len(each), batch.column("doc")[i].as_py())), pa.array(each)], ["head", "tail", "doc", "pos"])
+                        pa.array(pair.astype(np.int64)), pa.array(np.full(len(each), batch.column("doc")[i].as_py())), pa.array(each)], ["pair", "doc", "pos"])
 
-    return packed.join(lists, "doc").select("doc", "packed", "at").mapInArrow(name, "head long, tail long, doc long, pos long")
+    return packed.join(lists, "doc").select("doc", "packed", "at").mapInArrow(name, "pair long, doc long, pos long")
 
 
 def repeated_windows(names: DataFrame) -> DataFrame:
     """Windows whose pair of names stands in a smaller document, from rows sorted by (pair, doc)."""
     def scan(batches: Iterator) -> Iterator:
-        last = None  # head, tail and smallest doc of the list that is open
+        last = None  # pair and smallest doc of the list that is open
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head, tail, doc, pos = (np.asarray(batch.column(k)) for k in ("head", "tail", "doc", "pos"))
-            fresh = np.insert((head[1:] != head[:-1]) | (tail[1:] != tail[:-1]), 0, True)
+            pair, doc, pos = (np.asarray(batch.column(k)) for k in ("pair", "doc", "pos"))
+            fresh = np.insert(pair[1:] != pair[:-1], 0, True)
             least = doc[np.flatnonzero(fresh)]
-            if last is not None and (head[0], tail[0]) == last[:2]:
-                least[0] = last[2]
+            if last is not None and pair[0] == last[0]:
+                least[0] = last[1]
             own = np.cumsum(fresh) - 1
-            last = (head[-1], tail[-1], least[-1])
+            last = (pair[-1], least[-1])
             hit = doc > least[own]
-            yield _found(doc[hit], pos[hit], np.ones(hit.sum(), np.int64), mixed(head[hit].view(np.uint64) ^ mixed(tail[hit].view(np.uint64))), np.zeros(hit.sum(), bool))
+            yield _found(doc[hit], pos[hit], np.ones(hit.sum(), np.int64), pair[hit], np.zeros(hit.sum(), bool))
 
-    return names.repartition("head", "tail").sortWithinPartitions("head", "tail", "doc").mapInArrow(scan, FOUND)
+    return names.repartition("pair").sortWithinPartitions("pair", "doc").mapInArrow(scan, FOUND)
 
 
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -378,9 +377,11 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte offsets), a row per document."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = stored(shared_runs(rows), "runs")
+    release(docs.sparkSession)
     packed, clean = touched(rows, found)
     packed = stored(packed, "touched")
-    again = repeated_windows(window_names(packed, found.where("not settled").select("doc", "pos", "size")))
+    again = stored(repeated_windows(window_names(packed, found.where("not settled").select("doc", "pos", "size"))), "windows")
+    release(docs.sparkSession)
     covered = found.where("settled").unionByName(again)
     body = F.encode("text", "utf-8")
     whole = clean.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
