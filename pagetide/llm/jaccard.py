@@ -10,8 +10,9 @@
 4. Group lists expand to nodes. Star rounds pair the nodes of a list with one leader; pairs
    that the sizes and the number of common prefix shingles allow are verified on whole sets,
    and links join components. Each round is linear in the lists.
-5. The last round takes all pairs of a list that are still in different components, so no
-   link between components is missed, whatever the earlier rounds found.
+5. The last round takes the pairs of a list that are still in different components, each
+   where a run of common shingles begins, so no link between components is missed, whatever
+   the earlier rounds found.
 6. Components are labelled by repeated minimum over links with label jumping.
 
 Sets of nodes in candidate pairs are computed anew from the texts; a Bloom filter of fixed
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagetide.llm.common import joined_bytes, mixed, pieces, stored, table, word_hashes, words_of
+from pagetide.llm.common import joined_bytes, mixed, pieces, release, stored, table, word_hashes, words_of
 
 WORDS = 5
 THRESHOLD = Fraction(3, 4)
@@ -220,11 +221,16 @@ class Join:
 
         postings = groups.select("grp", "n_nodes", "prefix").mapInArrow(unpack, "token long, grp long, n_nodes long")
         lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(shared, "token long, grp long")
-        lists = stored(lists.join(self.nodes.select("grp", "node", "n", "last"), "grp").select("token", "node", "n", "last"), "lists")
+        lists = lists.join(self.nodes.select("grp", "node", "n", "last"), "grp").select("token", "node", "n", "last")
         # No set holds more in common with another than its listed prefix shingles and all behind its prefix.
-        listed = lists.groupBy("node").agg(F.count(F.lit(1)).alias("listed"))
+        every = Window.partitionBy("node")
+        order = every.orderBy("token")
+        lists = lists.withColumns({
+            "listed": F.count(F.lit(1)).over(every), "place": F.row_number().over(order), "before": F.coalesce(F.lag("token").over(order), F.lit(-1))})
         cap = F.col("listed") + needed(F.col("n"), threshold) - 1
-        self.lists = stored(lists.join(listed, "node").select("token", "node", F.struct("n", "last", cap.alias("cap")).alias("s")), "lists")
+        rest = F.col("listed") - F.col("place") + 1
+        self.lists = stored(lists.select("token", "node", F.struct("n", "last", cap.alias("cap")).alias("s"), rest.alias("rest"), "before"), "lists")
+        release(spark)
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
@@ -263,12 +269,23 @@ class Join:
         return pairs.where(self.possible(F.col("x"), F.col("y"), F.col("c")))
 
     def cross_pairs(self) -> DataFrame:
+        """Pairs of a list that lie in different components and can reach the threshold.
+
+        Two nodes whose listed shingles before this one are the same meet in that list already, so a common
+        passage pairs them at its first shingle only. At their first common shingle no more are common than
+        either still lists; a pair that fails there fails in all later lists too.
+        """
         lists = stored(self.labelled(), "cross")
-        x = lists.select("token", F.col("node").alias("a"), F.col("s").alias("x"), F.col("comp").alias("ca"))
-        y = lists.select(F.col("token").alias("_t"), F.col("node").alias("b"), F.col("s").alias("y"), F.col("comp").alias("cb"))
-        on = (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.possible(F.col("x"), F.col("y"))
-        pairs = x.join(y, on).groupBy("a", "x", "b", "y").agg(F.count(F.lit(1)).alias("c"))
-        return pairs.where(self.possible(F.col("x"), F.col("y"), F.col("c")))
+        x = lists.select("token", F.col("node").alias("a"), F.col("s").alias("x"), F.col("comp").alias("ca"), F.col("rest").alias("ra"), F.col("before").alias("pa"))
+        y = lists.select(F.col("token").alias("_t"), F.col("node").alias("b"), F.col("s").alias("y"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), F.col("before").alias("pb"))
+        first = (F.col("pa") != F.col("pb")) | (F.col("pa") == -1)
+        on = (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first
+        on = on & self.possible(F.col("x"), F.col("y"), F.least("ra", "rb"))
+        met = x.join(y, on).select("a", "x", "b", "y").distinct()
+        own = self.lists.groupBy("node").agg(F.collect_list("token").alias("own"))  # part of one document's prefix
+        met = met.join(own.select(F.col("node").alias("a"), F.col("own").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("tb")), "b")
+        common = F.size(F.array_intersect("ta", "tb")).cast("long")
+        return met.where(self.possible(F.col("x"), F.col("y"), common)).select("a", "b")
 
     def fetch(self, pairs: DataFrame) -> None:
         """Sets of the pairs' nodes that aren't there yet."""
@@ -343,6 +360,7 @@ class Join:
         new = stored(new, "verified")
         self.links = new if self.links is None else self.links.unionByName(new)
         self.labels = components(self.links)
+        release(self.docs.sparkSession)
 
 
 def similarity_classes(
