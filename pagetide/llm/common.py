@@ -143,7 +143,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower:
     return out
 
 
-def pieces(batches, text: str = "text", most: int = 2 << 20):
+def pieces(batches, text: str = "text", most: int = 1 << 20):
     """Arrow batches cut so that the texts of each hold ``most`` bytes or one row."""
     for batch in batches:
         if not batch.num_rows:
