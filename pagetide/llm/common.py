@@ -50,10 +50,12 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps whose results are stored.
 
     Spark's cleaner removes them once the driver has collected the frames that made them;
-    otherwise they stay until the driver happens to run short of memory.
+    otherwise they stay until the driver happens to run short of memory. The first turn drops
+    what Python held in the JVM, the second what that held.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def word_count(text: Column) -> Column:
