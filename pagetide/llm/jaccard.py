@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagetide.llm.common import joined_bytes, mixed, pieces, release, stored, table, word_hashes, words_of
+from pagetide.llm.common import discard, joined_bytes, mixed, pieces, release, stored, table, word_hashes, words_of
 
 WORDS = 5
 THRESHOLD = Fraction(3, 4)
@@ -175,10 +175,13 @@ class Join:
         described = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(
             describe, "doc_id long, n long, node long, grp long, last long, prefix binary")
         described = stored(described, "prefixes")
-        self.rows = described.select("doc_id", "n", "node")
+        self.rows = stored(described.select("doc_id", "n", "node"), "rows")
         self.nodes = stored(described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("last").alias("last")), "nodes")
         sizes = self.nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n_nodes"))
         groups = described.where("n > 0").groupBy("grp").agg(F.first("prefix").alias("prefix")).join(sizes, "grp")
+        groups = stored(groups.select("grp", "n_nodes", "prefix"), "groups")
+        discard(described)
+        release(spark)
 
         def unpack(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -219,8 +222,11 @@ class Join:
             if last is not None and (carried or last.column("n_nodes")[0].as_py() > 1):
                 yield last.select(["token", "grp"])
 
-        postings = groups.select("grp", "n_nodes", "prefix").mapInArrow(unpack, "token long, grp long, n_nodes long")
+        postings = groups.mapInArrow(unpack, "token long, grp long, n_nodes long")
         lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(shared, "token long, grp long")
+        lists = stored(lists, "shared")
+        discard(groups)
+        release(spark)  # the shuffle of all prefix shingles is the largest of the job
         lists = lists.join(self.nodes.select("grp", "node", "n", "last"), "grp").select("token", "node", "n", "last")
         # No set holds more in common with another than its listed prefix shingles and all behind its prefix.
         every = Window.partitionBy("node")
@@ -276,12 +282,14 @@ class Join:
         either still lists; a pair that fails there fails in all later lists too.
         """
         lists = stored(self.labelled(), "cross")
+        release(self.docs.sparkSession)
         x = lists.select("token", F.col("node").alias("a"), F.col("s").alias("x"), F.col("comp").alias("ca"), F.col("rest").alias("ra"), F.col("before").alias("pa"))
         y = lists.select(F.col("token").alias("_t"), F.col("node").alias("b"), F.col("s").alias("y"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), F.col("before").alias("pb"))
         first = (F.col("pa") != F.col("pb")) | (F.col("pa") == -1)
         on = (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first
         on = on & self.possible(F.col("x"), F.col("y"), F.least("ra", "rb"))
-        met = x.join(y, on).select("a", "x", "b", "y").distinct()
+        met = stored(x.join(y, on).select("a", "x", "b", "y").distinct(), "met")
+        release(self.docs.sparkSession)
         own = self.lists.groupBy("node").agg(F.collect_list("token").alias("own"))  # part of one document's prefix
         met = met.join(own.select(F.col("node").alias("a"), F.col("own").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb")).cast("long")
@@ -339,7 +347,9 @@ class Join:
         import pyarrow as pa
 
         pairs = stored(pairs.select("a", "b"), "pairs")
+        release(self.docs.sparkSession)
         self.fetch(pairs)
+        release(self.docs.sparkSession)
         if self.sets is None:
             return
         up, down = self.threshold.numerator, self.threshold.denominator
