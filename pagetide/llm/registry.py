@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagetide.llm import archives, contamination, jaccard, mixing, neighbours, oracles, quality, secrets, sharding, suffixes, toxicity
+from pagetide.llm import archives, contamination, jaccard, mixing, neighbours, oracles, quality, secret_scan, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -14,6 +14,6 @@ QUERIES = {
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_warc": archives.op8_warc,
     "op9_sharding": sharding.op9_sharding,
-    "op10_secrets": secrets.op10_secrets,
+    "op10_secrets": secret_scan.op10_secrets,
 }
 ORACLES = {"op5_mixing": oracles.MIXING, "op8_warc": oracles.ARCHIVES, "op10_secrets": oracles.SECRETS}

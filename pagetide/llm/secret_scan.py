@@ -106,6 +106,11 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def hit_count(kind: int) -> Column:
+    """Number of hits of one kind."""
+    return F.size(F.filter("hits", lambda h: h["kind"] == kind)).cast("long")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans, all spans and counts of copied and live values of every document."""
     found = scan_secrets(table(spark, sf_dir, "documents"))
@@ -119,9 +124,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_live = F.filter("hits", lambda h: h["random"] & F.array_contains("live", h["hash"]))
     live = F.array_distinct(F.transform(is_live, lambda h: F.struct(
         h["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), h["end"].alias("end"), F.lit(LIVE).alias("name"))))
-    count = [F.size(F.filter("hits", lambda h, i=i: h["kind"] == i)).cast("long") for i in range(BASE_KINDS)]
     return found.select(
-        "doc_id", count[0].alias("n_assign"), count[1].alias("n_access"), count[2].alias("n_hex"),
+        "doc_id", *[hit_count(k).alias(f"n_{KINDS[k][0]}") for k in range(BASE_KINDS)],
         F.sha2(_joined(shown(base)), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat(shown(base), live))).alias("spans"),
         F.size(live).cast("long").alias("n_live"),

@@ -220,7 +220,7 @@ def fit_chain(emit: list[np.ndarray], tags: np.ndarray, n_features: int, rounds:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, windows: int = WINDOWS, features: int = FEATURES) -> Tagger | None:
-    """Tagger from labels outside the held-out fold; None if a class has none."""
+    """Tagger from labels outside the held-out fold; None if a class has none or no labelled text has a word."""
     usable = clean_labels(labels, label).where(~held_out(F.col("doc_id"), FOLDS, HELD))
     ids = sample_labels(usable, sample, "t")  # 2 x sample rows
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
@@ -274,7 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     blocks = rows.select("y", "text").mapInArrow(cut, "y int, window binary")
     half = [blocks.where(F.col("y") == y).orderBy(F.md5("window")).limit(windows // 2) for y in (0, 1)]
-    got = np.stack([np.frombuffer(x, np.int32).reshape(WINDOW, -1) for x in half[0].unionByName(half[1]).toPandas()["window"]])
+    cuts = half[0].unionByName(half[1]).toPandas()["window"]
+    if not len(cuts):  # no labelled text has a word
+        return None
+    got = np.stack([np.frombuffer(x, np.int32).reshape(WINDOW, -1) for x in cuts])
     weights, bias, trans = fit_chain([got[:, :, i] for i in range(got.shape[2] - 1)], got[:, :, -1], len(keys))
     tagger = Tagger(keys, weights[1:], bias, trans, np.zeros(3))
 

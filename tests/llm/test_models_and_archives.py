@@ -95,6 +95,8 @@ def test_toxicity_finds_words_and_spans(spark):
             found = [r.text.encode()[s.start:s.end].decode() for s in r.spans]
             assert any("badword" in f or "asty" in f for f in found)
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
+    blank = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, '', null) AS text")
+    assert toxicity.fit(blank, labels) is None
     assert {(r.score, len(r.spans)) for r in toxicity.score_toxicity(docs, None).collect()} == {(0.0, 0)}
     assert toxicity.score_toxicity(docs.limit(0), tagger).count() == 0
 

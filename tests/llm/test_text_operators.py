@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from helpers import documents, empty_documents, sentence, words
 
-from pagetide.llm import contamination, jaccard, mixing, secrets, sharding, suffixes
+from pagetide.llm import contamination, jaccard, mixing, secret_scan, sharding, suffixes
 
 
 def test_jaccard_matches_brute_force(spark):
@@ -209,7 +209,7 @@ def test_secret_spans(spark):
     ]
     rows = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(None, texts[0], None), (0, texts[0], "s0")]
     docs = spark.createDataFrame([(*r, "h", "l") for r in rows], "doc_id long, text string, source string, hits string, live string")
-    got = secrets.scan_secrets(docs).collect()
+    got = secret_scan.scan_secrets(docs).collect()
     assert len(got) == len(rows)
     for r in got:
         text = texts[r.doc_id] if r.doc_id is not None else texts[0]
@@ -219,7 +219,38 @@ def test_secret_spans(spark):
         assert sorted((h.start, h.end, h.kind) for h in r.hits if h.kind < 3) == sorted(want)
     live = {r.doc_id: len(r.live) for r in got if r.doc_id is not None}
     assert live[9] == 1 and live[6] == live[7] == 0  # one owner's value; a value of two owners
-    assert secrets.scan_secrets(docs.limit(0)).count() == 0
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+
+
+def plain_hits(text):
+    """(start, end, kind) of the base kinds, read plainly."""
+    rules = (("assign", ASSIGN, 1, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
+    return [(m.start(), m.end(), k) for k, (_, rx, group, least) in enumerate(rules) for m in rx.finditer(text or "") if len(m[group]) >= least]
+
+
+@pytest.mark.parametrize("data", ["own", "/root/testdata/sf0.01"])
+def test_secret_query_columns(spark, tmp_path, data):
+    if data == "own":
+        texts = [
+            "password=abcdef1 token: xyzxyz2 secret = qqqqqq3", "AKIA" + "B" * 16 + " AKIA" + "C" * 17, "0a" * 13 + " " + "1b" * 12 + " " + "2c" * 20,
+            "AKIA" + "D" * 16 + " passwd=zzzzzz1 " + "3d" * 15 + " api_key=" + "4e" * 14, "é token=" + "5f" * 12, None, "", "nothing here",
+        ]
+        spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+        data = str(tmp_path)
+    text_of = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    rows = secret_scan.op10_secrets(spark, data).collect()
+    assert len(rows) == len(text_of)
+    seen = collections.Counter()
+    for r in rows:
+        want = plain_hits(text_of[r.doc_id])
+        counts = [sum(k == kind for *_, k in want) for kind in range(3)]
+        assert [r.n_assign, r.n_access, r.n_hex] == counts, r.doc_id
+        names = ("assign", "access", "hex")
+        shown = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted((a, k, b) for a, b, k in want))
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
+        seen.update(i for i, n in enumerate(counts) if n > 1)
+    assert seen or data != str(tmp_path)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 257])
