@@ -95,4 +95,84 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first THEN 'r
   CASE WHEN page_id < first THEN first END AS refers_to
 FROM k LEFT JOIN f USING (payload_digest)"""
 
+
+
+def _manifest(levels: int = 6, group_levels: int = 4) -> str:
+    """Runs of 16 per level, for groups of at most 16 ** levels rows."""
+    upper = "".join(map(chr, range(65, 91)))
+
+    def shown(value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR) END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(shown(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    crc = (
+        "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+        "lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+        "lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END) END), 4294967295)"
+    )
+
+    def runs(name: str, n: int) -> list[str]:
+        out = []
+        for k in range(n):
+            out.append(f"{name}r{k} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, n, string_agg(h, '' ORDER BY pos) AS run FROM {name}n{k} GROUP BY tree, pos // 16, n)")
+            out.append(f"{name}n{k + 1} AS MATERIALIZED (SELECT tree, pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS h FROM {name}r{k})")
+        return out
+
+    def paths(name: str, first: str, n: int, tree: str, pos: str, size: str, out: str) -> list[str]:
+        steps, last = [], first
+        for k in range(n):
+            at = f"64 * (({pos} // {16 ** k}) % 16)"
+            on = f"({size} + {16 ** k - 1}) // {16 ** k} > 1"
+            steps.append(
+                f"{out}{k} AS (SELECT p.* REPLACE (CASE WHEN {on} THEN sib || substr(run, 1, {at}) || substr(run, {at} + 65) ELSE sib END AS sib, "
+                f"CASE WHEN {on} THEN sha256(substr(run, 1, {at}) || fold || substr(run, {at} + 65)) ELSE fold END AS fold) "
+                f"FROM {last} p JOIN {name}r{k} r ON r.tree = p.{tree} AND r.pos = {pos} // {16 ** (k + 1)})")
+            last = f"{out}{k}"
+        return steps
+
+    low = f"translate(text, '{upper}', '{upper.lower()}')"
+    steps = [
+        f"d AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS tree, {leaf('text')} AS leaf, "
+        f"CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS fold FROM documents)",
+        "l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, "
+        "count(*) OVER (PARTITION BY tree) AS size, '' AS sib FROM d)",
+        "an0 AS (SELECT tree, place AS pos, size AS n, leaf AS h FROM l)", *runs("a", levels),
+        f"g AS MATERIALIZED (SELECT tree AS name, h AS subroot, 0 AS top, row_number() OVER (ORDER BY tree) - 1 AS gplace, count(*) OVER () AS gsize FROM an{levels})",
+        "bn0 AS (SELECT top AS tree, gplace AS pos, gsize AS n, subroot AS h FROM g)", *runs("b", group_levels),
+        *paths("a", "l", levels, "tree", "place", "size", "x"),
+        f"m AS (SELECT p.*, g.* FROM x{levels - 1} p JOIN g ON g.name = p.tree)",
+        *paths("b", "m", group_levels, "top", "gplace", "gsize", "y"),
+    ]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(sib) AS proof_sha256, fold AS folded_root, fold = t.h AS verified
+FROM y{group_levels - 1}, bn{group_levels} t"""
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q "
+        "FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part))",
+        f"e0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {entries} + entry) AS best "
+            f"FROM p JOIN e{k} USING (part) GROUP BY vec_id, part)")
+        if k < rounds:
+            steps.append(
+                f"s{k} AS (SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT part, best % {entries} AS entry, i, sum(x[i]) AS total, count(*) AS n "
+                f"FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY part, best % {entries}, i) GROUP BY part, entry)")
+            steps.append(f"e{k + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(s.c, o.c) AS c FROM e{k} o LEFT JOIN s{k} s ON s.part = o.part AND s.entry = o.entry)")
+    return "WITH " + ",\n".join(steps) + f""",
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), books"""
+
+
 MIXING = _mixing()
+MANIFEST = _manifest()
+VECTOR_CODES = _vector_codes()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pagetide.llm import archives, contamination, jaccard, mixing, neighbours, oracles, quality, secret_scan, sharding, suffixes, toxicity
+from pagetide.llm import (
+    archives, contamination, jaccard, manifest, mixing, neighbours, oracles, quality, secret_scan, sharding, suffixes, token_counts, toxicity,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,5 +18,14 @@ QUERIES = {
     "op8_warc": archives.op8_warc,
     "op9_sharding": sharding.op9_sharding,
     "op10_secrets": secret_scan.op10_secrets,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_token_counts": token_counts.op13_token_counts,
+}
+ORACLES = {
+    "op5_mixing": oracles.MIXING,
+    "op8_warc": oracles.ARCHIVES,
+    "op10_secrets": oracles.SECRETS,
+    "op11_vector_codes": oracles.VECTOR_CODES,
+    "op12_manifest": oracles.MANIFEST,
 }
-ORACLES = {"op5_mixing": oracles.MIXING, "op8_warc": oracles.ARCHIVES, "op10_secrets": oracles.SECRETS}
