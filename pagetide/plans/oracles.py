@@ -740,6 +740,20 @@ _ONE = f"""SELECT *, version AS v FROM ({RECORDS}) AS r"""
 ORACLES["store_roundtrip"] = f"""
 SELECT v AS version, v AS version_key, title, url, content, '{BASE}' AS source_url FROM ({_ONE}) AS r
 QUALIFY row_number() OVER (PARTITION BY v ORDER BY published_at DESC, url DESC) = 1"""
+ORACLES["record_roundtrip"] = f"SELECT version, title, url, published_at, content, image_url FROM ({RECORDS}) AS r"
+ORACLES["record_quarantine"] = """
+SELECT 'v' || page_id AS version, CASE WHEN page_id % 11 = 5 OR page_id % 13 = 6 THEN 'malformed' WHEN page_id % 7 = 3 THEN 'missing url' ELSE 'good' END AS state,
+  CASE WHEN page_id % 11 <> 5 AND page_id % 13 <> 6 AND page_id % 7 <> 3 THEN length(url) END AS size FROM pages"""
+ORACLES["stored_summaries"] = """
+WITH e AS (
+  SELECT regexp_replace((user_id % 200) || '/' || event_type, '[^a-zA-Z0-9.-]', '_', 'g') AS version_key, event_type || '-' || event_id AS summary, ts FROM events),
+a AS (SELECT version_key, arg_max(summary, (ts, summary)) AS summary FROM e WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+b AS (SELECT version_key, arg_max(summary, (ts, summary)) AS summary FROM e WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
+SELECT version_key, coalesce(b.summary, a.summary) AS summary, a.summary AS before FROM a FULL JOIN b USING (version_key)"""
+ORACLES["state_snapshots"] = """
+SELECT as_of, user_id AS source, arg_max(event_type, (ts, event_id)) AS version, count(*) AS total
+FROM events, (VALUES ('2024-01-08', TIMESTAMP '2024-01-08'), ('2024-01-15', TIMESTAMP '2024-01-15'), ('2024-01-22', TIMESTAMP '2024-01-22'), ('restored', TIMESTAMP '2024-01-08')) AS s(as_of, stop)
+WHERE ts < stop GROUP BY as_of, user_id"""
 OPS = I.as_sql(I.OPERATIONS)
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('millisecond' FROM {0}) % 1000 AS VARCHAR), 3, '0') || 'Z'"
 ORACLES["session_export"] = f"""
@@ -908,18 +922,18 @@ ORACLES["stream_state"] = f"""WITH n AS (
 st AS ({STATE})
 SELECT coalesce(st.source, n.source) AS source, CASE WHEN n.source IS NULL THEN st.version ELSE n.version END AS version,
   coalesce(n.ts, st.last_notification) AS last_notification, coalesce(st.total, 0) + coalesce(n.added, 0) AS total FROM st FULL JOIN n ON n.source = st.source"""
-# A stream emits a window once the watermark (latest row minus an hour) passes it.
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 ORACLES["stream_rates"] = "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2"
-ORACLES["stream_late"] = f"""
-SELECT * FROM ({ORACLES["stream_rates"]}) AS w
-WHERE window_start + INTERVAL 1 HOUR <= {_CLOSED} AND window_start >= TIMESTAMP '2024-01-16 00:00:00'"""
+ORACLES["stream_late"] = """
+WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM events)
+SELECT event_type, date_trunc('hour', ts) AS window_start, count_if(ts >= TIMESTAMP '2024-01-16') AS n, count_if(ts < TIMESTAMP '2024-01-16') AS n_late,
+  max(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN (epoch_us(watermark) - epoch_us(ts)) // 1000 END) AS longest_delay_ms
+FROM events, w GROUP BY 1, 2"""
 ORACLES["stream_sliding_rates"] = f"""
 SELECT event_type, s AS window_start, count(*) AS n FROM (
   SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) AS w
 GROUP BY ALL"""
 ORACLES["stream_sessions"] = f"""
-SELECT user_id, min(ts) AS started, count(*) AS total_operations, count_if(event_type = 'error') AS failed FROM (
+SELECT user_id, min(ts) AS started, count(*) AS total_operations, count_if(event_type = 'error') AS failed, FALSE AS late FROM (
   SELECT user_id, event_type, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (
     SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) AS a) AS b
 GROUP BY user_id, sid"""

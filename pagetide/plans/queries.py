@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetide.functions import html as H
 from pagetide.functions import masking as M
@@ -20,9 +22,11 @@ from pagetide.operators import patterns as P
 from pagetide.operators import profile as R
 from pagetide.operators import responses, selectors, state, tasks
 from pagetide.plans import inputs as I
-from pagetide.sources import stores
 from pagetide.session import checkpoint_dir
+from pagetide.sources import stores
+from pagetide.sources.versions import VersionedTable
 from pagetide.streaming import jobs
+from pagetide.streaming.keyed import open_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -682,6 +686,59 @@ def store_roundtrip(spark, sf):
     )
 
 
+@query
+def record_roundtrip(spark, sf):
+    """Records written as JSON and read back, with the strict reader."""
+    path = work_folder(spark, "records")
+    rows = _records(spark, sf).select("version", "title", "url", "published_at", "content", "image_url", F.lit(None).cast("string").alias("local_image_path"))
+    stores.write_records(rows, path)
+    missing = stores.read_records(spark, path + "-missing", stores.RELEASE_SCHEMA)
+    return stores.read_records(spark, path, stores.RELEASE_SCHEMA).unionByName(missing).select("version", "title", "url", "published_at", "content", "image_url")
+
+
+@query
+def record_quarantine(spark, sf):
+    """A drop of records of which some are cut off, of another type or without url: good ones by url, bad ones by reason."""
+    path = work_folder(spark, "drop")
+    line = F.when(F.col("page_id") % 11 == 5, F.expr("left(line, length(line) - 3)")).when(
+        F.col("page_id") % 13 == 6, F.expr("replace(line, '\"size\":', '\"size\":\"x\",\"was\":')")).otherwise(F.col("line"))
+    rows = _pages(spark, sf).select("page_id", "url", F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("version"), F.lit("t").alias("title"))
+    rows.withColumn("line", F.to_json(F.struct("version", "title", F.when(F.col("page_id") % 7 != 3, F.col("url")).alias("url"), F.length("url").alias("size")))).select(line.alias("value")).write.text(path)
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("version", "title", "url")), T.StructField("size", T.LongType())])
+    good = stores.ingest_records(spark, path, schema, path + "-quarantine", ["url"])
+    bad = VersionedTable(spark, path + "-quarantine", "record_id").read()
+    return good.select("version", F.lit("good").alias("state"), "size").unionByName(
+        bad.select(F.regexp_extract("line", '"version":"([^"]*)"', 1).alias("version"), F.col("reason").alias("state"), F.lit(None).cast("long").alias("size")))
+
+
+@query
+def stored_summaries(spark, sf):
+    """Two writes of summaries, the second over a part of the keys, and the store as it was between them."""
+    path = work_folder(spark, "summaries")
+    rows = table(spark, sf, "events").select(
+        F.concat((F.col("user_id") % 200).cast("string"), F.lit("/"), F.col("event_type")).alias("version"),
+        F.concat_ws("-", "event_type", F.col("event_id").cast("string")).alias("summary"), F.col("ts").alias("generated_at"))
+    middle = F.col("generated_at") < F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
+    stores.write_summaries(rows.where(middle), path, "2024-01-15")
+    stores.write_summaries(rows.where(~middle), path, "2024-01-31")
+    first = stores.read_store(spark, path, as_of="2024-01-20").select("version_key", F.col("summary").alias("before"))
+    return stores.read_store(spark, path).join(first, "version_key", "full").select(F.col("version_key").cast("string").alias("version_key"), "summary", "before")
+
+
+@query
+def state_snapshots(spark, sf):
+    """The state of every user after each of three weeks, saved as snapshots and read as of each; the first one restored."""
+    path, events = work_folder(spark, "snapshots"), table(spark, sf, "events")
+    weeks = ["2024-01-08", "2024-01-15", "2024-01-22"]
+    for week in weeks:
+        own = events.where(F.col("ts") < F.to_timestamp_ntz(F.lit(week)))
+        own = own.groupBy(F.col("user_id").alias("source")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("version"), F.count(F.lit(1)).alias("total"))
+        stores.snapshot_state(own, path, week)
+    read = [stores.state_as_of(spark, path, week).withColumn("as_of", F.lit(week)) for week in weeks]
+    read.append(stores.restore_state(spark, path, weeks[0]).withColumn("as_of", F.lit("restored")))
+    return functools.reduce(DataFrame.unionByName, read).select("as_of", "source", "version", "total")
+
+
 @query
 def session_export(spark, sf):
     return stores.session_rows(I.derive(spark, sf, I.OPERATIONS))
@@ -889,7 +946,7 @@ def stream_first_card(spark, sf):
 def stream_changes(spark, sf):
     events = jobs.file_stream(spark, f"{sf}/events.parquet").select("user_id", "event_id", "ts", "event_type")
     out = _run(spark, lambda o, c: jobs.run_change_feed(
-        events, "user_id", F.to_date("ts"), ["ts", "event_id"], ["event_type"], o, o + "-last", c
+        events, "user_id", F.to_date("ts"), ["ts", "event_id"], ["event_type"], o, c
     ))
     return spark.read.parquet(out).select("user_id", "event_id", "event_type")
 
@@ -903,7 +960,7 @@ def stream_state(spark, sf):
     )
     initial = I.derive(spark, sf, I.STATE)
     out = _run(spark, lambda o, c: jobs.run_state_merge(sent, initial, o, c))
-    return jobs.last_batch(spark, out).select("source", "version", "last_notification", "total")
+    return VersionedTable(spark, out, "source").read().select("source", "version", "last_notification", "total")
 
 
 def _clocked(spark, sf):
@@ -926,27 +983,28 @@ def stream_sliding_rates(spark, sf):
 
 @query
 def stream_late(spark, sf):
-    """The later half of the log arrives first; the earlier half is too late."""
+    """The later half of the log arrives first; the earlier half is too late and goes to the ledger."""
     events, root = table(spark, sf, "events"), work_folder(spark, "stream")
     middle = F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
     for drop in (middle, ~middle):
         events.where(drop).write.mode("append").parquet(f"{root}/drops")
-        stream = jobs.file_stream(spark, f"{root}/drops").withColumn("ts", F.col("ts").cast("timestamp"))
-        windows = jobs.request_windows(stream, "event_type", slide=None)
-        jobs.write_stream(windows, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(
-        "event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n"
-    )
+        stream = jobs.file_stream(spark, f"{root}/drops", per_trigger=1_000_000).withColumn("ts", F.col("ts").cast("timestamp"))  # a drop is a batch
+        jobs.run_late_ledger(stream, "event_type", f"{root}/out", f"{root}/late", f"{root}/checkpoint").awaitTermination()
+    counted = jobs.counted_windows(spark, f"{root}/out").select("event_type", "window_start", "n", F.lit(0).alias("n_late"))
+    late = spark.read.parquet(f"{root}/late").groupBy("event_type", "window_start").agg(
+        F.count(F.lit(1)).alias("n_late"), F.max("delay_ms").alias("longest_delay_ms"))
+    both = counted.unionByName(late.withColumn("n", F.lit(0)), allowMissingColumns=True)
+    return both.groupBy("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(
+        F.sum("n").alias("n"), F.sum("n_late").alias("n_late"), F.max("longest_delay_ms").alias("longest_delay_ms"))
 
 
 @query
 def stream_sessions(spark, sf):
-    ops = _clocked(spark, sf).withColumn("error", F.when(F.col("event_type") == "error", "x"))
-    rows = jobs.operation_sessions(ops, "user_id")
-    out = _run(spark, lambda o, c: jobs.write_updates(rows, o, c, "complete"))
-    return jobs.last_batch(spark, out).select(
-        "user_id", F.col("started").cast("timestamp_ntz").alias("started"), "total_operations", "failed"
-    )
+    """Sessions that ended, and those the state still holds."""
+    ops, root = _clocked(spark, sf).withColumn("error", F.when(F.col("event_type") == "error", "x")), work_folder(spark, "stream")
+    jobs.run_sessions(ops, "user_id", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{root}/out").drop("batch").unionByName(open_sessions(spark, f"{root}/checkpoint"))
+    return rows.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "total_operations", "failed", "late")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from pagetide.functions.urls import version_key
 from pagetide.operators.metrics import session_metrics
+from pagetide.sources.versions import VersionedTable
 
 # ---- fixed values ---------------------------------------------------------
 STORE_VERSION = "1.0.0"
-STORE_BUCKETS = 64
 RELEASE_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -41,6 +41,41 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
         raise
 
 
+def checked_records(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Good records, and the bad ones as (file, line, reason); a missing path has neither.
+
+    ``malformed``: not a JSON object, or a value of another type than the schema's;
+    ``missing <field>``: a required field is absent or null. Blank lines are no records.
+    """
+    try:
+        lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "line string, file string")
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("line", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    reason = F.when(~F.col("line").rlike(r"^\s*\{") | F.col("r").isNull() | F.col("r._corrupt").isNotNull(), "malformed")
+    for field in required:
+        reason = reason.when(F.col(f"r.{field}").isNull(), f"missing {field}")
+    rows = lines.where(F.trim("line") != "").withColumn("r", parsed).withColumn("reason", reason)
+    return rows.where("reason is null").select(*[f"r.{f.name}" for f in schema]), rows.where("reason is not null").select("file", "line", "reason")
+
+
+def ingest_records(
+    spark: SparkSession, path: str, schema: T.StructType, quarantine: str, required: Sequence[str] = ()
+) -> DataFrame:
+    """Good records of a drop; its bad ones are appended to the quarantine table, each once however often the drop is read."""
+    good, bad = checked_records(spark, path, schema, required)
+    known = [F.sha2(F.concat_ws("\n", "file", "line"), 256).alias("record_id")]
+    bad = bad.select(*known, "*").dropDuplicates(["record_id"])
+    table = VersionedTable(spark, quarantine, "record_id")
+    if table.versions():
+        bad = bad.join(table.read().select("record_id"), "record_id", "left_anti")
+    table.upsert(bad)
+    return good
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """Overwrite a folder of JSON records; parent folders are made."""
     df.write.mode("overwrite").json(path)
@@ -66,51 +101,58 @@ def release_store_rows(releases: DataFrame, saved_at: Column, source_url: str) -
     })
 
 
-def _write_store(rows: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
-    """Upsert by version key; only the buckets that hold a given key are rewritten.
+def store_table(spark: SparkSession, path: str) -> VersionedTable:
+    """Versioned table of a release or summary store."""
+    return VersionedTable(spark, path, "version_key")
 
-    The new state of those buckets is written beside the store first, so the store is
-    never read while it is overwritten and a repeated run gives the same rows.
-    """
-    spark = rows.sparkSession
-    new = rows.withColumn("bucket", F.pmod(F.xxhash64("version_key"), F.lit(buckets)).cast("int"))
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException as err:
-        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    else:
-        kept = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("version_key"), "version_key", "left_anti")
-        staged = f"{path}/_next-{uuid.uuid4().hex}"
-        new.unionByName(kept, allowMissingColumns=True).write.parquet(staged)
-        new = spark.read.parquet(staged)
-    (
-        new.hint("rebalance", "bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+
+def _write_store(rows: DataFrame, path: str, stamp: str | None) -> int:
+    """Upsert by version key as a delta; deltas are folded now and then, older versions stay until ``clean``."""
+    table = store_table(rows.sparkSession, path)
+    number = table.upsert(rows, stamp)
+    return table.compact() or number
 
 
-def write_releases(releases: DataFrame, path: str, saved_at: Column, source_url: str) -> None:
-    """Overwrite the records of the versions given; other versions stay."""
-    _write_store(release_store_rows(releases, saved_at, source_url), path)
+def write_releases(releases: DataFrame, path: str, saved_at: Column, source_url: str, stamp: str | None = None) -> int:
+    """Overwrite the records of the versions given, other versions stay; the number of the store's new version."""
+    return _write_store(release_store_rows(releases, saved_at, source_url), path, stamp)
 
 
-def write_summaries(summaries: DataFrame, path: str) -> None:
-    _write_store(_one_per_version(summaries, "generated_at", "summary"), path)
+def write_summaries(summaries: DataFrame, path: str, stamp: str | None = None) -> int:
+    """Keep one summary per version key, the last generated; the number of the store's new version."""
+    return _write_store(_one_per_version(summaries, "generated_at", "summary"), path, stamp)
 
 
-def read_store(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path).drop("bucket")
+def read_store(spark: SparkSession, path: str, schema: T.StructType | None = None, as_of: str | None = None) -> DataFrame:
+    """Records of a store, now or as they were at a stamp; a store that is not there is empty."""
+    return store_table(spark, path).read(schema, as_of=as_of)
 
 
-def snapshot_state(state: DataFrame, path: str, snapshot_ts: Column) -> None:
-    """Append a copy of the state, one folder per snapshot time."""
-    stamped = state.withColumn("snapshot_ts", F.date_format(snapshot_ts, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'"))
-    stamped.write.mode("append").partitionBy("snapshot_ts").parquet(path)
+def snapshot_state(state: DataFrame, path: str, stamp: str, key: str = "source") -> int:
+    """Save the state, one row per key, under a stamp (ISO time); the version's number.
+
+    Rows that did not change since the last snapshot are not written again; keys that left are marked as gone.
+    """
+    table, removed = VersionedTable(state.sparkSession, path, key), None
+    if table.versions():
+        last = table.read().select(state.columns)
+        removed = last.join(state, last[key].eqNullSafe(state[key]), "left_anti")
+        state = state.exceptAll(last)
+    return table.upsert(state, stamp, removed=removed)
+
+
+def state_as_of(spark: SparkSession, path: str, stamp: str, key: str = "source") -> DataFrame:
+    """The state as the last snapshot at or before a stamp had it."""
+    return VersionedTable(spark, path, key).read(as_of=stamp)
+
+
+def restore_state(spark: SparkSession, path: str, stamp: str, key: str = "source") -> DataFrame:
+    """Make an older snapshot the newest one and return its rows; the snapshots between stay readable."""
+    table = VersionedTable(spark, path, key)
+    number = table.at(stamp)
+    if number is None:
+        raise ValueError(f"no snapshot at or before {stamp}")
+    return table.read(version=table.restore(number))
 
 
 def session_rows(ops: DataFrame) -> DataFrame:

@@ -1,23 +1,24 @@
 """Structured Streaming forms of the batch jobs.
 
 Pages and releases go through ``foreachBatch`` because the batch plans use
-analytic windows. Every batch writes into a folder of its own and reads the
-state left by the batch before it, so a replayed batch gives the same result.
+analytic windows. Every batch writes into a folder of its own, or once into a
+versioned table, so a replayed batch gives the same result. Keyed state is in
+the state store (``keyed``) or in such a table, never rewritten as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagetide.operators.state import change_feed, merge_state
+from pagetide.operators.state import merge_state
+from pagetide.sources.versions import DELTAS, VersionedTable, touched_buckets
+from pagetide.streaming.keyed import SESSION_GAP_SECONDS, changes, closed_sessions, keyed_state
 
 QUOTA_WINDOW, QUOTA_SLIDE, LATENESS, SESSION_GAP = "1 hour", "5 minutes", "1 hour", "30 minutes"
-
-
 FILES_PER_TRIGGER = 256
 
 
@@ -57,33 +58,30 @@ def run_per_batch(
     )
 
 
-def _previous(spark: SparkSession, root: str, batch: int) -> DataFrame | None:
-    return spark.read.parquet(_batch_folder(root, batch - 1)) if batch > 0 else None
+def run_change_feed(
+    stream: DataFrame, key: str, bucket: Column, order: list[str], values: list[str], out: str, checkpoint: str, ttl_ms: int | None = None
+) -> StreamingQuery:
+    """Change feed across micro-batches; the last value of each key is in the state store."""
+    feed = changes(stream, key, bucket, order, values, ttl_ms)
+    with keyed_state(stream.sparkSession, idle_batches=ttl_ms is None):
+        return write_updates(feed, out, checkpoint, "append")
 
 
-def run_change_feed(
-    stream: DataFrame, key: str, bucket: Column, order: list[str], values: list[str],
-    out: str, last: str, checkpoint: str,
+def run_state_merge(
+    stream: DataFrame, initial: DataFrame, out: str, checkpoint: str, key: str = "source", deltas: int = DELTAS
 ) -> StreamingQuery:
-    """Change feed across micro-batches with the last value per key as state.
+    """Upsert sent notices into the versioned state table at ``out``.
 
-    Expects every batch to come after the one before it, as files are dropped.
+    A batch reads the buckets of its keys, writes a delta with its keys only and is skipped if the table has it.
     """
 
-    def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        before = _previous(spark, last, batch)
-        tail = rows.select(key, *values, *order)
-        seen = rows.withColumn("_old", F.lit(False))
-        if before is not None:
-            seen = seen.unionByName(before.withColumn("_old", F.lit(True)), allowMissingColumns=True)
-            tail = tail.unionByName(before)
-        feed = change_feed(seen, [key], bucket, order, values).where("not _old").drop("_old")
-        feed.write.mode("overwrite").parquet(_batch_folder(out, batch))
-        packed = F.max_by(F.struct(*values, *order), F.struct(*order)).alias("r")
-        tail.groupBy(key).agg(packed).select(key, "r.*").write.mode("overwrite").parquet(
-            _batch_folder(last, batch)
-        )
+    def write(sent: DataFrame, batch: int) -> None:
+        table = VersionedTable(sent.sparkSession, out, key)
+        if not table.versions():
+            table.upsert(initial, batch=-1)
+        state = table.read(buckets=touched_buckets(table, sent)).join(sent.select(key).distinct(), key, "left_semi")
+        table.upsert(merge_state(state, sent, key), batch=batch)
+        table.compact(deltas)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -93,16 +91,40 @@ def run_change_feed(
     )
 
 
-def run_state_merge(
-    stream: DataFrame, initial: DataFrame, out: str, checkpoint: str, key: str = "source"
+def run_late_ledger(
+    stream: DataFrame, key: str, out: str, ledger: str, checkpoint: str, ts: str = "ts",
+    width: str = QUOTA_WINDOW, lateness: str = LATENESS,
 ) -> StreamingQuery:
-    """Upsert sent notices into the state; batch n reads what batch n-1 wrote."""
+    """Requests per key and tumbling window in a versioned table; rows whose window had closed go to the ledger.
 
-    def write(sent: DataFrame, batch: int) -> None:
-        state = _previous(sent.sparkSession, out, batch)
-        merge_state(initial if state is None else state, sent, key).write.mode("overwrite").parquet(
-            _batch_folder(out, batch)
-        )
+    The clock is the newest time seen in the batches before, observed while a batch is written; a window closes
+    when the clock passes its end by ``lateness``. A ledger row has its window and by how far (``delay_ms``) it
+    came behind the watermark, so that counted and late rows are all rows, those without a time included (with no
+    window, in the ledger).
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark, clock = rows.sparkSession, f"{out}-clock"
+        before = spark.read.parquet(_batch_folder(clock, batch - 1)).first()[0] if batch else None
+        watermark = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+        span = F.window(ts, width)
+        seen = Observation(f"clock-{batch}")
+        marked = rows.observe(seen, F.max(ts).alias("newest")).withColumns({
+            "window_start": span["start"], "window_end": span["end"], "delay_ms": F.floor((F.unix_micros(watermark) - F.unix_micros(F.col(ts))) / 1000)})
+        late = F.coalesce(F.col("window_end") <= watermark, F.col(ts).isNull())
+        # F.window leaves rows without a time out, so they are marked apart.
+        timeless = rows.where(F.col(ts).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in (("window_start", "timestamp"), ("window_end", "timestamp"), ("delay_ms", "long"))})
+        marked.where(late).unionByName(timeless).write.mode("overwrite").parquet(_batch_folder(ledger, batch))
+        newest = max((t for t in (before, seen.get["newest"]) if t is not None), default=None)
+        spark.createDataFrame([(newest,)], "newest timestamp").write.mode("overwrite").parquet(_batch_folder(clock, batch))
+        fresh = marked.where(~late).groupBy(key, "window_start", "window_end").agg(F.count(F.lit(1)).alias("n"))
+        fresh = fresh.withColumn("window_key", F.to_json(F.struct(key, F.unix_micros("window_start").alias("at"))))
+        table = VersionedTable(spark, out, "window_key")
+        if table.versions():
+            old = table.read(buckets=touched_buckets(table, fresh)).select("window_key", F.col("n").alias("_n"))
+            fresh = fresh.join(old, "window_key", "left").withColumn("n", F.col("n") + F.coalesce("_n", F.lit(0))).drop("_n")
+        table.upsert(fresh, batch=batch)
+        table.compact()
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -112,6 +134,19 @@ def run_state_merge(
     )
 
 
+def counted_windows(spark: SparkSession, out: str) -> DataFrame:
+    """Windows that ``run_late_ledger`` counted, open ones too."""
+    return VersionedTable(spark, out, "window_key").read().drop("window_key")
+
+
+def run_sessions(
+    stream: DataFrame, key: str, out: str, checkpoint: str, ts: str = "ts", gap_seconds: int = SESSION_GAP_SECONDS, lateness: str = LATENESS
+) -> StreamingQuery:
+    """Append each session once, when it has ended; ``open_sessions`` reads those that have not."""
+    with keyed_state(stream.sparkSession):
+        return write_updates(closed_sessions(stream, key, ts, gap_seconds, lateness), out, checkpoint, "append")
+
+
 def request_windows(
     stream: DataFrame, key: str, ts: str = "ts", width: str = QUOTA_WINDOW,
     slide: str | None = QUOTA_SLIDE, lateness: str = LATENESS,
@@ -129,10 +164,9 @@ def request_windows(
 def operation_sessions(
     stream: DataFrame, key: str, ts: str = "ts", gap: str = SESSION_GAP, lateness: str = LATENESS
 ) -> DataFrame:
-    """Sessions that end after a quiet gap.
+    """Sessions that end after a quiet gap, over a batch; ``closed_sessions`` is the same rule with open sessions as state.
 
-    The batch rule measures age from the session start; a stream closes a
-    session by the gap after its last row.
+    The expiry rule of ``metrics`` measures age from the session start instead.
     """
     return (
         stream.withWatermark(ts, lateness)
@@ -157,9 +191,9 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str = "ts", lateness: str
 
 
 def write_updates(rows: DataFrame, out: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Write what each batch changed (``update``) or the whole result so far (``complete``), a folder per batch.
+    """Write what each batch changed (``update``) or finished (``append``), a folder per batch.
 
-    Windows that are still open are there as well: ``latest`` or ``last_batch`` reads the present state.
+    After ``update``, windows that are still open are there as well: ``latest`` reads the present state.
     """
 
     def write(batch_rows: DataFrame, batch: int) -> None:
@@ -181,13 +215,6 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
 
 
-def last_batch(spark: SparkSession, out: str) -> DataFrame:
-    """Rows of the newest batch folder: the state of a merge, or a ``complete`` result."""
-    rows = spark.read.parquet(out)
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), "batch").drop("batch")  # one row
-
-
 def write_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to a folder; rows behind the watermark are dropped."""
     return (

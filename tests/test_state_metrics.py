@@ -144,9 +144,6 @@ def test_stores(spark, tmp_path):
     assert back["1.1/x"].title == "t2" and back["1.1/x"].version_key == "1.1_x" and back["2"].title == "new"
     stores.write_summaries(spark.createDataFrame([("1", "a", T0), ("1", "b", T0)], "version string, summary string, generated_at timestamp_ntz"), str(tmp_path / "sums"))
     assert [r.summary for r in stores.read_store(spark, str(tmp_path / "sums")).collect()] == ["b"]
-    snaps = str(tmp_path / "snaps")
-    stores.snapshot_state(rows, snaps, F.lit(T0))
-    assert {r.snapshot_ts for r in spark.read.parquet(snaps).collect()} == {"2024-01-01T00-00-00-000Z"}
     assert one(spark, state.backup_name(F.lit(T0))) == "state_backup_2024-01-01T00-00-00-000Z.json"
 
 
