@@ -186,7 +186,8 @@ def count_tokens(
         F.col(key).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
         F.sha2(normalised(F.col(text)), 256).alias("digest")), "token-digests")
     fill_cache(docs, digests, words, cache, text, normalised, few)
-    return digests.join(cached(docs.sparkSession, cache, words.version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(cached(docs.sparkSession, cache, words.version), "token-counts")  # Spark splits a hot digest if it joins plain tables
+    return digests.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
