@@ -129,6 +129,16 @@ def span_text(tokens: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.transform(inner, decode_entities), "")
 
 
+def indexed_text(index: Column, start: Column, end: Column) -> Column:
+    """Text of a span from a page's text index (``text`` in UTF-8, ``ends`` of each token's text in it)."""
+
+    def upto(pos: Column) -> Column:
+        return F.coalesce(F.get(index["ends"], F.least(pos, F.size(index["ends"])) - 1), F.lit(0))
+
+    low = upto(start)
+    return F.substr(index["text"], low + 1, F.greatest(upto(end - 1) - low, F.lit(0))).cast("string")
+
+
 def span_html(tokens: Column, start: Column, end: Column) -> Column:
     """Inner markup of a span as written in the page."""
     return F.array_join(span_tokens(tokens, start, end), "")

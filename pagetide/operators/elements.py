@@ -36,26 +36,54 @@ def page_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 
 def _located(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
+    """One row per page, with the rows of a page in one place.
+
+    A key names one page: of rows that repeat it the greatest HTML counts. To keep several
+    fetches of a page, make the fetch part of the key.
+    """
     # No count: AQE sets the number of partitions by the size of the HTML.
-    return pages.select(*keys, html).repartition(*keys)
+    return pages.select(*keys, html).groupBy(*keys).agg(F.max(html).alias(html))
+
+
+def _carried(index: bool) -> list[str]:
+    """Columns that only a page's root row fills."""
+    return ["toks", "index"] if index else ["toks"]
+
+
+def _with_index(located: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the page's text index to its tokens: its whole text as bytes, and where each token's text ends."""
+    token = F.col("token")
+    rows = located.select(*keys, F.posexplode_outer("toks").alias("p", "token")).withColumn(
+        "piece", F.when(H.is_text(token), H.decode_entities(token)).otherwise("")
+    )
+    along = Window.partitionBy(*keys).orderBy("p").rowsBetween(*_BEFORE)
+    rows = rows.withColumn("upto", F.sum(F.octet_length("piece")).over(along).cast("int"))
+    one = F.when(F.col("p").isNotNull(), F.struct("p", "token", "piece", "upto"))
+    xs = F.array_sort(F.collect_list(one))
+    return rows.groupBy(*keys).agg(xs.alias("xs")).select(
+        *keys, F.col("xs.token").alias("toks"),
+        F.struct(F.encode(F.array_join("xs.piece", ""), "UTF-8").alias("text"), F.col("xs.upto").alias("ends")).alias("index"),
+    )
 
 
-def _tag_rows(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
-    """Tag tokens plus one root row per page that alone carries the token array."""
+def _tag_rows(pages: DataFrame, keys: Sequence[str], html: str, index: bool = False) -> DataFrame:
+    """Tag tokens plus one root row per page that alone carries the token array and the text index."""
     located = pages.select(*keys, H.html_tokens(F.col(html)).alias("toks"))
-    none = F.lit(None).cast("array<string>")
-    root = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("token"), F.col("toks").alias("toks")))
+    located = _with_index(located, keys) if index else located
+    carry = _carried(index)
+    none = [F.lit(None).cast(located.schema[c].dataType).alias(c) for c in carry]
+    root = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("token"), *carry))
     tags = F.filter(
         F.transform(
             F.col("toks"),
-            lambda t, i: F.struct((i + 1).alias("pos"), t.alias("token"), none.alias("toks")),
+            lambda t, i: F.struct((i + 1).alias("pos"), t.alias("token"), *none),
         ),
         lambda s: s["token"].startswith("<"),
     )
     rows = located.select(*keys, F.inline(F.concat(root, tags)))
     kind = H.token_kind(F.col("token"))
     rows = rows.select(
-        *keys, "pos", "token", "toks", kind.alias("kind"),
+        *keys, "pos", "token", *carry, kind.alias("kind"),
         F.when(F.col("pos") == 0, F.lit(DOCUMENT)).otherwise(H.tag_name(F.col("token"))).alias("tag"),
     ).where((F.col("kind") != 0) | (F.col("pos") == 0))
     group = (
@@ -69,16 +97,20 @@ def _tag_rows(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
     return rows.withColumn("cls", group)
 
 
-def element_spans(pages: DataFrame, key: str | Sequence[str] = "page_id", html: str = "html") -> DataFrame:
+def element_spans(
+    pages: DataFrame, key: str | Sequence[str] = "page_id", html: str = "html", index: bool = False
+) -> DataFrame:
     """One row per element with its first and last token position.
 
-    Columns: key, open, close, tag, token, toks. The root row (open 0, tag
-    ``#document``) exists for every page and carries the page's token array.
-    Spans are properly nested by construction: the last step pairs opening and
-    closing positions per nesting level.
+    Columns: key, open, close, tag, token, toks, and with ``index`` the text
+    index. The root row (open 0, tag ``#document``) exists for every page and
+    carries the page's token array and index. Spans are properly nested by
+    construction: the last step pairs opening and closing positions per
+    nesting level.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rows = _tag_rows(_located(pages, keys, html), keys, html)
+    carry = _carried(index)
+    rows = _tag_rows(_located(pages, keys, html), keys, html, index)
     kind, pos, cls, tag = F.col("kind"), F.col("pos"), F.col("cls"), F.col("tag")
     is_open = kind == 1
     end_of_page = F.lit(2147483647)
@@ -130,7 +162,7 @@ def element_spans(pages: DataFrame, key: str | Sequence[str] = "page_id", html:
         .otherwise(F.col("pair"))
     )
     spans = rows.where(is_open | (cls == "root")).select(
-        *keys, pos.alias("open"), end.alias("end"), "tag", "token", "toks", "cls"
+        *keys, pos.alias("open"), end.alias("end"), "tag", "token", *carry, "cls"
     )
 
     # 4. Pair opens and closes per level; open inline tags end with their container.
@@ -139,12 +171,12 @@ def element_spans(pages: DataFrame, key: str | Sequence[str] = "page_id", html:
     shut = F.struct(F.col("end").alias("at"), F.lit(0).alias("ord"), F.lit(False).alias("is_el"))
     spanning = ~void & F.col("end").isNotNull()
     events = spans.select(
-        *keys, "open", "end", "tag", "cls", "token", "toks",
+        *keys, "open", "end", "tag", "cls", "token", *carry,
         F.inline(F.when(spanning, F.array(point, shut)).otherwise(F.array(point))),
     ).select(
         *keys, "open", "tag", "at", "ord", "is_el", "cls",
         F.when(F.col("is_el"), F.col("token")).alias("token"),
-        F.when(F.col("is_el"), F.col("toks")).alias("toks"),
+        *[F.when(F.col("is_el"), F.col(c)).alias(c) for c in carry],
         F.when(F.col("is_el") & ~spanning, 0).when(F.col("is_el"), 1).otherwise(-1).alias("step"),
     )
     along = Window.partitionBy(*keys).orderBy("at", "ord").rowsBetween(*_BEFORE)
@@ -164,7 +196,7 @@ def element_spans(pages: DataFrame, key: str | Sequence[str] = "page_id", html:
             *keys, "open",
             F.when(F.col("cls") == "void", F.col("open"))
             .otherwise(F.coalesce("shut_at", end_of_page)).alias("close"),
-            "tag", "token", "toks",
+            "tag", "token", *carry,
         )
     )
 
@@ -237,9 +269,10 @@ def elements(
     key: str | Sequence[str] = "page_id",
     html: str = "html",
     tree: bool = False,
+    index: bool = False,
 ) -> DataFrame:
-    """Element table with attributes, optionally with depth and parent."""
-    spans = element_spans(pages, key, html)
+    """Element table with attributes, optionally with depth and parent, and with the text index."""
+    spans = element_spans(pages, key, html, index)
     return with_attributes(with_tree(spans, key) if tree else spans)
 
 
@@ -262,18 +295,21 @@ def attach_content(
     """Rows of ``els`` where ``keep`` holds, with their text and inner markup.
 
     The page's tokens sit in the root row only; the wanted spans of a page meet
-    them in one per-page row and each span is sliced out directly.
+    them in one per-page row and each span is sliced out directly. With a text
+    index a span's text is two look-ups and one slice, however deep it nests.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    indexed = "index" in els.columns
     payload = F.struct("open", "close", *[c for c in columns if c not in ("open", "close")])
-    grouped = els.groupBy(*keys).agg(
-        page_tokens_of().alias("toks"),
-        F.collect_list(F.when(keep, payload)).alias("xs"),
-    )
+    pages = [page_tokens_of().alias("toks")] if inner_html or not indexed else []
+    pages += [F.get(F.collect_list("index"), F.lit(0)).alias("index")] if indexed else []
+    grouped = els.groupBy(*keys).agg(*pages, F.collect_list(F.when(keep, payload)).alias("xs"))
 
     def fill(x: Column) -> Column:
         parts = [x[c].alias(c) for c in columns]
-        if text:
+        if text and indexed:
+            parts.append(H.indexed_text(F.col("index"), x["open"], x["close"]).alias("text"))
+        elif text:
             parts.append(H.span_text(F.col("toks"), x["open"], x["close"]).alias("text"))
         if inner_html:
             parts.append(H.span_html(F.col("toks"), x["open"], x["close"]).alias("inner_html"))

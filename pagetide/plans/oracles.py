@@ -159,6 +159,14 @@ FROM (SELECT page_id, open, tag, unnest(regexp_extract_all(token, '[A-Za-z-]+="[
 ORACLES["element_text"] = ON_PAGES + f"""
 SELECT e.page_id, e.open, e.tag, {text_of('e')} AS text FROM els e JOIN docs USING (page_id)"""
 
+_CRAWLED = "WITH " + elements_cte(
+    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<main><h1>Next ' || page_id || ' &amp; on</h1><p>a<b>b</b></p></main>' ELSE html END AS html FROM pages"
+)
+ORACLES["table_elements"] = _CRAWLED + _ALL
+ORACLES["table_texts"] = _CRAWLED + f"""
+SELECT e.page_id, e.open, e.tag, {text_of('e')} AS text FROM els e JOIN docs USING (page_id)
+WHERE e.tag IN ('h1', 'p') OR (e.tag = 'b' AND EXISTS (SELECT 1 FROM els x WHERE x.page_id = e.page_id AND x.open = e.parent AND x.tag = 'p'))"""
+
 _UNDER = "EXISTS (SELECT 1 FROM els x WHERE x.page_id = e.page_id AND x.tag = '{0}' AND x.open < e.open AND e.open < x.close)"
 _CHILD = "EXISTS (SELECT 1 FROM els x WHERE x.page_id = e.page_id AND x.open = e.parent AND x.tag = '{0}')"
 under, child = _UNDER.format, _CHILD.format

@@ -23,7 +23,7 @@ from pagetide.operators import profile as R
 from pagetide.operators import responses, selectors, state, tasks
 from pagetide.plans import inputs as I
 from pagetide.session import checkpoint_dir
-from pagetide.sources import stores
+from pagetide.sources import element_tables, stores
 from pagetide.sources.versions import VersionedTable
 from pagetide.streaming import jobs
 from pagetide.streaming.keyed import open_sessions
@@ -131,7 +131,7 @@ def element_attributes(spark, sf):
 
 @query
 def element_text(spark, sf):
-    els = E.element_spans(_pages(spark, sf))
+    els = E.element_spans(_pages(spark, sf), index=True)
     return E.attach_content(els, F.col("open") > 0, ["open", "tag"])
 
 
@@ -160,6 +160,28 @@ def page_first_card(spark, sf):
     )
 
 
+def _element_table(spark, sf):
+    """Pages parsed into a bucketed table, then a second crawl in which every third page has another markup."""
+    name = f"elements_{uuid.uuid4().hex}"
+    element_tables.write_elements(_pages(spark, sf), name, work_folder(spark, "elements"), buckets=16)
+    again = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<main><h1>Next "), F.col("page_id").cast("string"), F.lit(" &amp; on</h1><p>a<b>b</b></p></main>"))).otherwise(F.col("html"))
+    element_tables.refresh(_pages(spark, sf).withColumn("html", again), name, buckets=16)
+    return element_tables.read_elements(spark, name)
+
+
+@query
+def table_elements(spark, sf):
+    """Elements of the newest fetch of every page, from the stored table."""
+    return _element_table(spark, sf).where("open > 0").select("page_id", "open", "close", "tag", "depth", "parent")
+
+
+@query
+def table_texts(spark, sf):
+    """Headings, paragraphs and bold text of the stored table, by selector and text index."""
+    els = selectors.match(_element_table(spark, sf), ["h1", "p", "p > b"])
+    return E.attach_content(els, F.size("hits") > 0, ["open", "tag"])
+
+
 @query
 def nav_links(spark, sf):
     els = selectors.match(E.elements(_pages(spark, sf)), ["nav a"])
