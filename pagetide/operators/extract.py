@@ -17,7 +17,7 @@ from pagetide.functions import text as X
 from pagetide.functions import titles as N
 from pagetide.functions import urls as U
 from pagetide.operators.elements import elements, page_tokens_of
-from pagetide.operators.selectors import in_rank, match, needs_tree
+from pagetide.operators.selectors import in_rank, match, match_all, needs_tree
 
 # ---- fixed values ---------------------------------------------------------
 CONTAINER_SELECTORS = (
@@ -100,30 +100,15 @@ def image_source(names: Column | None = None, values: Column | None = None) -> C
     return F.coalesce(H.attr("src", names, values), H.attr("data-src", names, values))
 
 
-def listing_cards(
-    pages: DataFrame,
-    base_url: str,
-    as_of: Column,
-    selectors: CardSelectors = CardSelectors(),
-    policy: U.ImagePolicy = U.DEFAULT_POLICY,
-    title_of=N.release_title,
-    key: str = "page_id",
-    max_attempts: int | None = MAX_ATTEMPTS,
-) -> DataFrame:
-    """Latest card of every page, or the reason why there is none.
-
-    ``status`` is ok, container_not_found, title_not_found or url_not_found.
-    ``title_of`` turns the text of a candidate into a title or null. Only the first
-    ``max_attempts`` container selectors are tried; None tries all.
-    """
-    sel = selectors
+def _card_parts(
+    els: DataFrame, keys: list[str], sel: CardSelectors, policy: U.ImagePolicy, hits: str, max_attempts: int | None
+) -> tuple[DataFrame, list[Column]]:
+    """Elements with what a card needs, and the aggregates that collect a page's candidates."""
     at_title = len(sel.container)
     at_url = at_title + len(sel.title)
     at_image = at_url + len(sel.url)
-    els = match(elements(pages, key, tree=needs_tree(sel.all)), sel.all, key)
-
-    page = Window.partitionBy(key)
-    box_rank = F.array_min(F.filter("hits", lambda r: r < min(at_title, max_attempts or at_title)))
+    page = Window.partitionBy(*keys)
+    box_rank = F.array_min(F.filter(hits, lambda r: r < min(at_title, max_attempts or at_title)))
     box = F.min(
         F.when(
             box_rank.isNotNull(),
@@ -136,11 +121,10 @@ def listing_cards(
     def firsts(start: int, count: int, within: bool, *payload: Column) -> Column:
         cond = F.col("inside") if within else F.lit(True)
         return F.array(*[
-            F.min(F.when(cond & in_rank(start + i), F.struct("open", *payload))) for i in range(count)
+            F.min(F.when(cond & in_rank(start + i, hits), F.struct("open", *payload))) for i in range(count)
         ])
 
-    none = F.lit(None).cast("string")
-    is_image = F.exists("hits", lambda r: r >= at_image)
+    is_image = F.exists(hits, lambda r: r >= at_image)
     els = els.withColumns({
         "inside": F.coalesce(inside, F.lit(False)),
         "href": H.attr("href"),
@@ -149,15 +133,18 @@ def listing_cards(
     els = els.withColumn("good", F.when(is_image, (F.col("src") != "") & U.is_valid_image(F.col("src"), policy)))
     link = (F.col("href").alias("v"),)
     picture = (F.col("src").alias("v"), F.col("good").alias("good"))
-    card = els.groupBy(key).agg(
-        page_tokens_of().alias("toks"),
+    return els, [
         F.first("box").alias("box"),
         firsts(at_title, len(sel.title), True, F.col("close")).alias("titles"),
         firsts(at_url, len(sel.url), True, *link).alias("urls_in"),
         firsts(at_url, len(sel.url), False, *link).alias("urls_doc"),
         firsts(at_image, len(sel.image), True, *picture).alias("images_in"),
         firsts(at_image, len(sel.image), False, *picture).alias("images_doc"),
-    )
+    ]
+
+
+def _card_columns(grouped: DataFrame, sel: CardSelectors, base_url: str, as_of: Column, title_of, keep: Sequence[str]) -> DataFrame:
+    """Status, title, addresses and version of each page's card."""
 
     def pick_title(c: Column, i: Column) -> Column:
         words = H.span_text(F.col("toks"), c["open"], c["close"])
@@ -168,11 +155,12 @@ def listing_cards(
             i.alias("rank"), F.when((c["v"] != "") & ok(c), c["v"]).alias("value")
         )
 
+    none = F.lit(None).cast("string")
     relevant = lambda c: c["v"].contains("patch") | c["v"].contains("news")
     everything = H.span_text(F.col("toks"), F.col("box.open"), F.col("box.close"))
     names = F.array(*[F.lit(s) for s in sel.title]), F.array(*[F.lit(s) for s in sel.url])
-    found = card.withColumn("t", _first_some(F.col("titles"), pick_title)).select(
-        key,
+    found = grouped.withColumn("t", _first_some(F.col("titles"), pick_title)).select(
+        *keep,
         F.col("box"),
         "t",
         # The whole container's text is built only where no selector gave a title.
@@ -192,7 +180,7 @@ def listing_cards(
         .otherwise("ok")
     )
     return found.select(
-        key,
+        *keep,
         status.alias("status"),
         F.get(F.array(*[F.lit(s) for s in sel.container]), F.col("box.rank")).alias("container_selector"),
         F.when(F.col("box").isNotNull(), title).alias("title"),
@@ -211,28 +199,53 @@ def listing_cards(
     )
 
 
-def detail_pages(
+def _key_list(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def listing_cards(
     pages: DataFrame,
-    content: Sequence[str] = CONTENT_SELECTORS,
-    heroes: Sequence[tuple[str, int]] = HERO_PATTERNS,
+    base_url: str,
+    as_of: Column,
+    selectors: CardSelectors = CardSelectors(),
     policy: U.ImagePolicy = U.DEFAULT_POLICY,
-    key: str = "page_id",
+    title_of=N.release_title,
+    key: str | Sequence[str] = "page_id",
+    max_attempts: int | None = MAX_ATTEMPTS,
 ) -> DataFrame:
-    """Main text (first selector giving more than 100 characters) and hero image."""
-    ranked = [s for s, _ in sorted(heroes, key=lambda h: -h[1])]
-    sels = [*content, *ranked]
-    els = match(elements(pages, key, tree=needs_tree(sels)), sels, key)
+    """Latest card of every page, or the reason why there is none.
+
+    ``status`` is ok, container_not_found, title_not_found or url_not_found.
+    ``title_of`` turns the text of a candidate into a title or null. Only the first
+    ``max_attempts`` container selectors are tried; None tries all.
+    """
+    keys, sel = _key_list(key), selectors
+    els = match(elements(pages, keys, tree=needs_tree(sel.all)), sel.all, keys)
+    els, candidates = _card_parts(els, keys, sel, policy, "hits", max_attempts)
+    grouped = els.groupBy(*keys).agg(page_tokens_of().alias("toks"), *candidates)
+    return _card_columns(grouped, sel, base_url, as_of, title_of, keys)
+
+
+def _ranked(heroes: Sequence[tuple[str, int]]) -> list[str]:
+    return [s for s, _ in sorted(heroes, key=lambda h: -h[1])]
+
+
+def _detail_parts(content: Sequence[str], policy: U.ImagePolicy, hits: str) -> list[Column]:
+    """Aggregates that collect a page's main text spans and its best image."""
     src = image_source()
-    hero_rank = F.array_min(F.filter("hits", lambda r: r >= len(content)))
+    hero_rank = F.array_min(F.filter(hits, lambda r: r >= len(content)))
     usable = hero_rank.isNotNull() & (src != "") & U.is_valid_image(src, policy)
-    body_hits = F.filter("hits", lambda r: r < len(content))
-    grouped = els.groupBy(key).agg(
-        page_tokens_of().alias("toks"),
+    body_hits = F.filter(hits, lambda r: r < len(content))
+    return [
         F.collect_list(
             F.when(F.size(body_hits) > 0, F.struct("open", "close", body_hits.alias("ranks")))
         ).alias("xs"),
         F.min(F.when(usable, F.struct(hero_rank.alias("r"), "open", src.alias("v")))).alias("hero"),
-    )
+    ]
+
+
+def _detail_columns(content: Sequence[str], heroes: Sequence[tuple[str, int]], min_content: int) -> dict[str, Column]:
+    """Main text and image of a page from its collected parts."""
 
     def body(rank: Column) -> Column:
         spans = F.sort_array(F.filter("xs", lambda x: F.array_contains(x["ranks"], rank)))
@@ -244,36 +257,80 @@ def detail_pages(
     bodies = F.transform(F.sequence(F.lit(0), F.lit(len(content) - 1)), body)
     kept = F.filter(
         F.transform(bodies, lambda b, i: F.struct(i.alias("rank"), b.alias("text"))),
-        lambda c: F.length(c["text"]) > MIN_CONTENT,
+        lambda c: F.length(c["text"]) > min_content,
     )
     names = F.array(*[F.lit(s) for s in content])
-    first = F.get(kept, F.lit(0))
-    return (
-        grouped.withColumn("c", first)
-        .select(
-            key,
-            F.get(names, F.col("c.rank")).alias("content_selector"),
-            F.col("c.text").alias("content"),
-            F.get(F.array(*[F.lit(s) for s in ranked]), F.col("hero.r") - len(content)).alias("image_selector"),
-            F.col("hero.v").alias("image_url"),
-        )
+    return {
+        "c": F.get(kept, F.lit(0)),
+        "content_selector": F.get(names, F.col("c.rank")),
+        "content": F.col("c.text"),
+        "hero_selector": F.get(F.array(*[F.lit(s) for s in _ranked(heroes)]), F.col("hero.r") - len(content)),
+        "hero_url": F.col("hero.v"),
+    }
+
+
+def detail_pages(
+    pages: DataFrame,
+    content: Sequence[str] = CONTENT_SELECTORS,
+    heroes: Sequence[tuple[str, int]] = HERO_PATTERNS,
+    policy: U.ImagePolicy = U.DEFAULT_POLICY,
+    key: str | Sequence[str] = "page_id",
+    min_content: int = MIN_CONTENT,
+) -> DataFrame:
+    """Main text (first selector giving more than ``min_content`` characters) and hero image."""
+    keys, sels = _key_list(key), [*content, *_ranked(heroes)]
+    els = match(elements(pages, keys, tree=needs_tree(sels)), sels, keys)
+    grouped = els.groupBy(*keys).agg(page_tokens_of().alias("toks"), *_detail_parts(content, policy, "hits"))
+    made = _detail_columns(content, heroes, min_content)
+    return grouped.withColumn("c", made["c"]).select(
+        *keys, made["content_selector"].alias("content_selector"), made["content"].alias("content"),
+        made["hero_selector"].alias("image_selector"), made["hero_url"].alias("image_url"),
+    )
+
+
+def _merged(rows: DataFrame, keys: list[str], as_of: Column, base_url: str) -> DataFrame:
+    """Records of the pages with a card: the detail image wins, empty values drop out."""
+    empty = F.lit("")
+    image = F.coalesce(F.nullif("d_image", empty), F.nullif("image_url", empty))
+    return rows.where("status = 'ok'").select(
+        *keys, "version", "title", F.col("normalised_url").alias("url"),
+        F.nullif("d_content", empty).alias("content"),
+        F.when(image.isNotNull(), U.normalise_url(image, base_url)).alias("image_url"),
+        as_of.alias("published_at"),
     )
 
 
+def page_releases(
+    pages: DataFrame,
+    base_url: str,
+    as_of: Column,
+    selectors: CardSelectors = CardSelectors(),
+    content: Sequence[str] = CONTENT_SELECTORS,
+    heroes: Sequence[tuple[str, int]] = HERO_PATTERNS,
+    policy: U.ImagePolicy = U.DEFAULT_POLICY,
+    title_of=N.release_title,
+    key: str | Sequence[str] = "page_id",
+    max_attempts: int | None = MAX_ATTEMPTS,
+    min_content: int = MIN_CONTENT,
+) -> DataFrame:
+    """Release records of pages that hold card and details themselves.
+
+    Equals ``release_records`` of ``listing_cards`` and ``detail_pages`` of the same pages, but parses each page once:
+    the selectors of both jobs are matched together and both are collected in one grouping, with one exchange.
+    """
+    keys, sel, sels = _key_list(key), selectors, [*content, *_ranked(heroes)]
+    els = elements(pages, keys, tree=needs_tree([*sel.all, *sels]))
+    els = match_all(els, {"card_hits": sel.all, "detail_hits": sels}, keys)
+    els, candidates = _card_parts(els, keys, sel, policy, "card_hits", max_attempts)
+    grouped = els.groupBy(*keys).agg(page_tokens_of().alias("toks"), *candidates, *_detail_parts(content, policy, "detail_hits"))
+    made = _detail_columns(content, heroes, min_content)
+    grouped = grouped.withColumn("c", made["c"]).withColumns({"d_content": made["content"], "d_image": made["hero_url"]})
+    return _merged(_card_columns(grouped, sel, base_url, as_of, title_of, [*keys, "d_content", "d_image"]), keys, as_of, base_url)
+
+
 def release_records(
     cards: DataFrame, details: DataFrame, as_of: Column, base_url: str, on: str = "page_id"
 ) -> DataFrame:
-    """Merge cards with details: the detail image wins, empty values drop out."""
+    """Merge cards with the details of their own pages, by ``on``."""
     d = details.select(on, F.col("content").alias("d_content"), F.col("image_url").alias("d_image"))
-    empty = F.lit("")
-    image = F.coalesce(F.nullif("d_image", empty), F.nullif("image_url", empty))
-    return (
-        cards.where("status = 'ok'")
-        .join(d, on, "left")
-        .select(
-            on, "version", "title", F.col("normalised_url").alias("url"),
-            F.nullif("d_content", empty).alias("content"),
-            F.when(image.isNotNull(), U.normalise_url(image, base_url)).alias("image_url"),
-            as_of.alias("published_at"),
-        )
-    )
+    return _merged(cards.join(d, on, "left"), [on], as_of, base_url)

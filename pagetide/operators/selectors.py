@@ -8,7 +8,7 @@ shared by all selectors of a call, so no pairs of elements are ever formed.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -135,39 +135,61 @@ def match(
 
     Blank selectors keep their index and match nothing.
     """
+    return match_all(els, {into: selectors}, key)
+
+
+def _step_key(step: _Step) -> tuple:
+    return step.child, tuple(tuple(t.items()) for t in step.tests)
+
+
+def match_all(
+    els: DataFrame, jobs: Mapping[str, Sequence[str]], key: str | Sequence[str] = "page_id"
+) -> DataFrame:
+    """Match the selectors of several jobs at once; each job's hits go to a column of its name.
+
+    All selectors form one automaton: a state is a distinct beginning of a selector, whatever jobs
+    and selectors share it. A state's flag is computed once per element, from the element's own test
+    and the flag of the state before it on an ancestor (one running window per step for all states).
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    base = els.columns
-    chains = [
-        (rank, alt_no, _steps(alt))
-        for rank, sel in enumerate(selectors)
-        if sel and sel.strip()
-        for alt_no, alt in enumerate(_split_list(sel))
-    ]
-    current = {(r, a): f"_m{r}_{a}" for r, a, _ in chains}
-    els = _with_used_attributes(els, [t for _, _, st in chains for x in st for t in x.tests])
-    els = els.withColumns({current[r, a]: _predicate(st[0]) for r, a, st in chains}) if chains else els
-    depth = 1
-    while any(len(st) > depth for _, _, st in chains):
-        later = [(r, a, st) for r, a, st in chains if len(st) > depth]
-        down = {current[r, a]: f"_p{r}_{a}" for r, a, st in later if st[depth].child}
-        under = {current[r, a]: f"_p{r}_{a}" for r, a, st in later if not st[depth].child}
-        if under:
-            els = _descend(els, keys, under)
-        if down:
-            els = _step_down(els, keys, down)
+    base = [c for c in els.columns if c not in jobs]
+    states: list[dict[tuple, _Step]] = []  # per depth: the beginning -> its last step
+    accepted: dict[str, dict[int, list[tuple]]] = {}
+    for name, selectors in jobs.items():
+        ranks = accepted.setdefault(name, {})
+        for rank, selector in enumerate(selectors):
+            for alternative in _split_list(selector) if selector and selector.strip() else ():
+                steps = _steps(alternative)
+                path = tuple(map(_step_key, steps))
+                for depth, step in enumerate(steps):
+                    if len(states) <= depth:
+                        states.append({})
+                    states[depth].setdefault(path[:depth + 1], step)
+                ranks.setdefault(rank, []).append(path)
+    number = {path: i for i, path in enumerate(p for level in states for p in level)}
+    els = _with_used_attributes(els, [t for level in states for step in level.values() for t in step.tests])
+    for depth, level in enumerate(states):
+        before = {
+            child: sorted({number[p[:-1]] for p, step in level.items() if step.child == child}) for child in (True, False)
+        } if depth else {}
+        if before.get(False):
+            els = _descend(els, keys, {f"_m{i}": f"_under{i}" for i in before[False]})
+        if before.get(True):
+            els = _step_down(els, keys, {f"_m{i}": f"_child{i}" for i in before[True]})
         els = els.withColumns({
-            current[r, a]: F.col(f"_p{r}_{a}") & _predicate(st[depth]) for r, a, st in later
+            f"_m{number[path]}": _predicate(step) & F.col(f"_{'child' if step.child else 'under'}{number[path[:-1]]}") if depth else _predicate(step)
+            for path, step in level.items()
         })
-        depth += 1
-    per_rank: dict[int, list[Column]] = {}
-    for r, a, _ in chains:
-        per_rank.setdefault(r, []).append(F.col(current[r, a]))
-    hits = [
-        F.when(reduce(lambda x, y: x | y, cols), F.lit(r)) for r, cols in sorted(per_rank.items())
-    ]
     none = F.array().cast("array<int>")
-    found = F.array_compact(F.array(*hits)) if hits else none
-    return els.select(*base, found.alias(into))
+
+    def found(ranks: dict[int, list[tuple]]) -> Column:
+        hits = [
+            F.when(reduce(lambda x, y: x | y, [F.col(f"_m{number[p]}") for p in paths]), F.lit(rank))
+            for rank, paths in sorted(ranks.items())
+        ]
+        return F.array_compact(F.array(*hits)) if hits else none
+
+    return els.select(*base, *[found(ranks).alias(name) for name, ranks in accepted.items()])
 
 
 def in_rank(rank: int, hits: str = "hits") -> Column:

@@ -278,10 +278,8 @@ def hero_images(spark, sf):
 
 @query
 def release_records(spark, sf):
-    pages = _listings(spark, sf)
-    cards = extract.listing_cards(pages, BASE_URL, as_of(), LIST_CARD)
-    details = extract.detail_pages(pages, content=("main", "section", "body"), heroes=LIST_HEROES)
-    return extract.release_records(cards, details, as_of(), BASE_URL)
+    return extract.page_releases(
+        _listings(spark, sf), BASE_URL, as_of(), LIST_CARD, content=("main", "section", "body"), heroes=LIST_HEROES)
 
 
 # ---- patterns, chunks, tasks, edits ---------------------------------------

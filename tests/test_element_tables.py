@@ -98,3 +98,37 @@ def test_texts_of_deep_pages_are_quick(spark):
     small, large = took(1500), took(3000)
     assert large[0] == sum(n * (3000 - i) for i, n in enumerate(lengths))  # word i lies in all but i elements
     assert large[1] < 6 * small[1] + 2
+
+
+def test_jobs_share_one_matching(spark):
+    pages = spark.createDataFrame([
+        (i, f"<main><article class='c{i % 3}'><h2>V 1.{i}</h2><a href='/patch/{i}'>x</a><p><b>t</b></p></article><p><b>u</b></p></main>") for i in range(9)
+    ], PAGE)
+    els = E.elements(pages, tree=True)
+    jobs = {"a": ["main article h2", "main > article > a", "", "p b, h2"], "b": [".c1 p", "main article h2", "main p > b"], "none": ["", " "]}
+    together = selectors.match_all(els, jobs)
+    assert [c for c in together.columns if c in jobs] == list(jobs)
+    for name, sels in jobs.items():
+        alone = {(r.page_id, r.open): r.hits for r in selectors.match(els, sels).collect()}
+        assert {(r.page_id, r.open): r[name] for r in together.collect()} == alone
+        assert name == "none" or any(alone.values())
+
+
+def test_releases_of_one_pass_equal_those_of_two(spark):
+    from pagetide.operators import extract
+
+    card = extract.CardSelectors(container=("article",), title=("h2",), url=("a",), image=("img",))
+    base, when = "https://example.com", F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
+    pages = spark.createDataFrame([
+        (1, "<article><h2>Patch 1.2 notes</h2><a href='/p/1'>go</a><img src='/i.png'></article><main>" + "text " * 40 + "<img src='/hero.png'></main>"),
+        (2, "<article><h2>Patch 1.3 notes</h2><a href='/p/2'>go</a></article><main>short</main>"), (3, "<p>no card</p>"), (4, None),
+    ], PAGE)
+    args = {"content": ("main", "body"), "heroes": (("main img", 9),)}
+    once = extract.page_releases(pages, base, when, card, **args)
+    twice = extract.release_records(extract.listing_cards(pages, base, when, card), extract.detail_pages(pages, **args), when, base)
+    assert once.columns == twice.columns and sorted(once.collect()) == sorted(twice.collect()) and once.count() == 2
+    plan = extract.page_releases(pages, base, when, card, **args)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    fetched = pages.withColumn("fetch", F.lit(1)).unionByName(pages.where("page_id = 2").select("page_id", F.replace("html", F.lit("1.3"), F.lit("1.4")).alias("html"), F.lit(2).alias("fetch")))
+    both = extract.page_releases(fetched, base, when, card, key=["page_id", "fetch"], **args)
+    assert {(r.page_id, r.fetch, r.version) for r in both.where("page_id = 2").collect()} == {(2, 1, "1.3"), (2, 2, "1.4")}
