@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
@@ -17,7 +17,7 @@ from pagetide.functions import text as X
 from pagetide.functions import titles as N
 from pagetide.functions import urls as U
 from pagetide.operators.elements import elements, page_tokens_of
-from pagetide.operators.selectors import in_rank, match, match_all, needs_tree
+from pagetide.operators.selectors import in_rank, is_supported, match, match_all, needs_tree
 
 # ---- fixed values ---------------------------------------------------------
 CONTAINER_SELECTORS = (
@@ -143,8 +143,42 @@ def _card_parts(
     ]
 
 
-def _card_columns(grouped: DataFrame, sel: CardSelectors, base_url: str, as_of: Column, title_of, keep: Sequence[str]) -> DataFrame:
-    """Status, title, addresses and version of each page's card."""
+def _log_entry(operation: str, names: Sequence[str], rank: Column, asked: Column) -> Column:
+    """What one field of one page took: the names in the order they are tried, and which one gave the value."""
+    last = F.coalesce(rank, F.lit(len(names) - 1))
+    every = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(n).alias("selector"), F.lit(not is_supported(n)).alias("bad")) for i, n in enumerate(names)
+    ])
+    tried = F.transform(
+        F.filter(every, lambda x: (x["i"] <= last) & (F.trim(x["selector"]) != "")),
+        lambda x: F.struct(x["selector"].alias("selector"), F.when(x["bad"], "error").when(x["i"] == rank, "hit").otherwise("miss").alias("outcome")),
+    )
+    return F.when(asked, F.struct(
+        F.lit(operation).alias("operation"), rank.isNotNull().alias("success"), F.get(F.array(*map(F.lit, names)), rank).alias("selector"),
+        F.coalesce(rank > 0, F.lit(False)).alias("fallback"), (last + 1).alias("attempts"), tried.alias("tried"),
+    ))
+
+
+def _parse_log(sel: CardSelectors, max_attempts: int | None, title: Column, url: Column) -> Column:
+    """Log entries of a page: a field is looked for once those before it were found."""
+    boxed = F.col("box").isNotNull()
+    n_title, n_url, n_image = len(sel.title), len(sel.url), len(sel.image)
+    title_rank = F.when(F.col("t.value").isNotNull(), F.col("t.rank")).when(F.col("t_all").isNotNull(), n_title)
+    url_rank = F.when(F.col("u_box").isNotNull(), 0).when(F.col("u.value").isNotNull(), F.col("u.rank") + 1).when(F.col("u_doc.value").isNotNull(), n_url + 1)
+    image_rank = F.when(F.col("i.value").isNotNull(), F.col("i.rank")).when(F.col("i_doc.value").isNotNull(), n_image)
+    return F.array_compact(F.array(
+        _log_entry("container", sel.container[:max_attempts], F.col("box.rank"), F.lit(True)),
+        _log_entry("title", [*sel.title, "container-text"], title_rank, boxed),
+        _log_entry("url", ["container-href", *sel.url, "document-fallback"], url_rank, boxed & title.isNotNull()),
+        _log_entry("image", [*sel.image, "document-fallback"], image_rank, boxed & title.isNotNull() & url.isNotNull()),
+    ))
+
+
+def _card_columns(
+    grouped: DataFrame, sel: CardSelectors, base_url: str, as_of: Column, title_of, keep: Sequence[str],
+    log: bool = False, max_attempts: int | None = None,
+) -> DataFrame:
+    """Status, title, addresses and version of each page's card, and the log of how they were found."""
 
     def pick_title(c: Column, i: Column) -> Column:
         words = H.span_text(F.col("toks"), c["open"], c["close"])
@@ -196,9 +230,35 @@ def _card_columns(grouped: DataFrame, sel: CardSelectors, base_url: str, as_of:
         F.when(F.col("box").isNotNull() & url.isNotNull(), U.normalise_url(url, base_url)).alias("normalised_url"),
         F.when(F.col("box").isNotNull(), F.coalesce("i.value", "i_doc.value")).alias("image_url"),
         F.when(F.col("box").isNotNull() & title.isNotNull(), N.release_version(title, as_of)).alias("version"),
+        *([_parse_log(sel, max_attempts, title, url).alias("parse_log")] if log else []),
     )
 
 
+def parse_log(cards: DataFrame, key: str | Sequence[str] = "page_id") -> DataFrame:
+    """One row per page and field of cards made with ``log``: operation, success, selector, fallback, attempts, error."""
+    keys = _key_list(key)
+    rows = cards.select(*keys, F.inline("parse_log")).drop("tried")
+    return rows.withColumn("error", F.when(~F.col("success"), F.concat("operation", F.lit("_not_found"))))
+
+
+def selector_log(cards: DataFrame, key: str | Sequence[str] = "page_id") -> DataFrame:
+    """One row per selector that was tried: operation, selector and outcome (hit, miss, or error if it cannot be read)."""
+    keys = _key_list(key)
+    rows = cards.select(*keys, F.explode("parse_log").alias("l"))
+    return rows.select(*keys, F.col("l.operation").alias("operation"), F.inline("l.tried"))
+
+
+def observe_parses(cards: DataFrame, observation: Observation, operations: Sequence[str] = ("container", "title", "url", "image")) -> DataFrame:
+    """The cards, with counts of tried and found fields taken while they are written: ``<operation>_total`` and ``_successful``."""
+
+    def has(operation: str, found: bool) -> Column:
+        return F.exists("parse_log", lambda x: (x["operation"] == operation) & (x["success"] | F.lit(not found)))
+
+    return cards.observe(observation, *[
+        F.count_if(has(o, found)).alias(f"{o}_{label}") for o in operations for found, label in ((False, "total"), (True, "successful"))
+    ])
+
+
 def _key_list(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -212,18 +272,22 @@ def listing_cards(
     title_of=N.release_title,
     key: str | Sequence[str] = "page_id",
     max_attempts: int | None = MAX_ATTEMPTS,
+    log: bool = False,
 ) -> DataFrame:
     """Latest card of every page, or the reason why there is none.
 
     ``status`` is ok, container_not_found, title_not_found or url_not_found.
     ``title_of`` turns the text of a candidate into a title or null. Only the first
-    ``max_attempts`` container selectors are tried; None tries all.
+    ``max_attempts`` container selectors are tried; None tries all. ``log`` adds the
+    column ``parse_log``; selectors that cannot be read are then skipped and logged
+    as errors, without it they raise.
     """
     keys, sel = _key_list(key), selectors
-    els = match(elements(pages, keys, tree=needs_tree(sel.all)), sel.all, keys)
+    asked = [s if is_supported(s) else "" for s in sel.all] if log else sel.all
+    els = match(elements(pages, keys, tree=needs_tree(asked)), asked, keys)
     els, candidates = _card_parts(els, keys, sel, policy, "hits", max_attempts)
     grouped = els.groupBy(*keys).agg(page_tokens_of().alias("toks"), *candidates)
-    return _card_columns(grouped, sel, base_url, as_of, title_of, keys)
+    return _card_columns(grouped, sel, base_url, as_of, title_of, keys, log, max_attempts)
 
 
 def _ranked(heroes: Sequence[tuple[str, int]]) -> list[str]:

@@ -55,6 +55,16 @@ def _steps(selector: str) -> list[_Step]:
     return steps
 
 
+def is_supported(selector: str) -> bool:
+    """Whether a selector can be read; blank ones can, and match nothing."""
+    try:
+        for alternative in _split_list(selector) if selector.strip() else ():
+            _steps(alternative)
+    except ValueError:
+        return False
+    return True
+
+
 def _predicate(step: _Step) -> Column:
     def one(test: dict) -> Column:
         if test["tag"]:

@@ -344,17 +344,17 @@ icand AS (
 ),
 ifirst AS (SELECT * FROM icand QUALIFY row_number() OVER (PARTITION BY page_id, stage, rank ORDER BY open) = 1),
 ipick AS (
-  SELECT page_id, min_by(v, stage * 10 + rank) AS v FROM ifirst
+  SELECT page_id, min_by(v, stage * 10 + rank) AS v, min(stage * 10 + rank) AS ord FROM ifirst
   WHERE v <> '' AND ({reason('v')}) IS NULL AND (stage = 0 OR contains(v, 'patch') OR contains(v, 'news')) GROUP BY page_id
 ),
 raw AS (
   SELECT d.page_id, b.open IS NOT NULL AS boxed, b.rank AS brank, t.title AS t1, t.rank AS trank, {release_title(text_of('b', 'd.toks'))} AS t2,
-    CASE WHEN b.tag = 'a' THEN {attr('href', 'b.token')} END AS u0, u.v AS u1, u.ord, i.v AS img
+    CASE WHEN b.tag = 'a' THEN {attr('href', 'b.token')} END AS u0, u.v AS u1, u.ord, i.v AS img, i.ord AS irank
   FROM docs d LEFT JOIN box b USING (page_id) LEFT JOIN tpick t USING (page_id) LEFT JOIN upick u USING (page_id) LEFT JOIN ipick i USING (page_id)
 ),
 card AS (
   SELECT page_id, boxed, brank, trank, t1, CASE WHEN boxed THEN coalesce(t1, t2) END AS title,
-    CASE WHEN boxed THEN coalesce(u0, u1) END AS url, u0, ord, CASE WHEN boxed THEN img END AS image_url
+    CASE WHEN boxed THEN coalesce(u0, u1) END AS url, u0, ord, irank, CASE WHEN boxed THEN img END AS image_url
   FROM raw
 ),
 cards AS (
@@ -362,7 +362,7 @@ cards AS (
     CASE WHEN NOT boxed THEN 'container_not_found' WHEN title IS NULL THEN 'title_not_found' WHEN url IS NULL THEN 'url_not_found' ELSE 'ok' END AS status,
     CASE brank WHEN 1 THEN 'section.grid > .card' WHEN 2 THEN 'div section[class~=grid]' END AS container_selector,
     title, CASE WHEN NOT boxed THEN NULL WHEN t1 IS NOT NULL THEN ['.title', 'h3', 'p'][trank + 1] WHEN title IS NOT NULL THEN 'container-text' END AS title_selector,
-    url, CASE WHEN NOT boxed THEN NULL WHEN u0 IS NOT NULL THEN 'container-href' WHEN ord < 10 THEN ['a[href*="patch"]', 'a.go', 'a'][ord] WHEN url IS NOT NULL THEN 'document-fallback' END AS url_selector,
+    brank, trank, t1, u0, ord, irank, boxed, url, CASE WHEN NOT boxed THEN NULL WHEN u0 IS NOT NULL THEN 'container-href' WHEN ord < 10 THEN ['a[href*="patch"]', 'a.go', 'a'][ord] WHEN url IS NOT NULL THEN 'document-fallback' END AS url_selector,
     CASE WHEN url IS NOT NULL THEN {normal('url')} END AS normalised_url, image_url,
     CASE WHEN title IS NOT NULL THEN {version('title')} END AS version
   FROM card
@@ -908,10 +908,26 @@ UNION ALL SELECT owner, key || ' appears to be a test/demo key' FROM s WHERE {_S
 
 # ---- operation metrics ----------------------------------------------------
 
-ORACLES["operation_metrics"] = f"""
-SELECT type AS operation, count(*) AS total, count_if(error = '') AS successful, count_if(error <> '') AS failed FROM ({OPS}) AS o GROUP BY type"""
-ORACLES["selector_rates"] = f"""
-SELECT selector, round(avg(CASE WHEN outcome = 'hit' THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM ({I.as_sql(I.SELECTOR_LOG)}) AS l WHERE outcome <> 'miss' GROUP BY selector"""
+_LOG = _CARD + """,
+ranks AS (
+  SELECT page_id, 'container' AS operation, brank + 1 AS rank, ['section::before', '.missing', 'section.grid > .card', 'div section[class~=grid]'] AS names FROM cards
+  UNION ALL SELECT page_id, 'title', CASE WHEN t1 IS NOT NULL THEN trank WHEN title IS NOT NULL THEN 3 END, ['.title', 'h3', 'p', 'container-text'] FROM cards WHERE boxed
+  UNION ALL SELECT page_id, 'url', CASE WHEN u0 IS NOT NULL THEN 0 WHEN ord < 10 THEN ord + 1 WHEN ord >= 10 THEN 5 END,
+    ['container-href', '', 'a[href*="patch"]', 'a.go', 'a', 'document-fallback'] FROM cards WHERE boxed AND title IS NOT NULL
+  UNION ALL SELECT page_id, 'image', CASE WHEN irank < 10 THEN irank WHEN irank >= 10 THEN 3 END, ['img[src*="patch"]', 'img.hero', 'img', 'document-fallback'] FROM cards WHERE status = 'ok'),
+log AS (
+  SELECT page_id, operation, rank IS NOT NULL AS success, names[rank + 1] AS selector, coalesce(rank > 0, false) AS fallback, coalesce(rank + 1, len(names)) AS attempts,
+    CASE WHEN rank IS NULL THEN operation || '_not_found' END AS error, names FROM ranks),
+tried AS (
+  SELECT selector, CASE WHEN selector = 'section::before' THEN 'error' WHEN i = attempts AND success THEN 'hit' ELSE 'miss' END AS outcome
+  FROM (SELECT success, attempts, unnest(names[1:attempts]) AS selector, unnest(range(1, attempts + 1)) AS i FROM log) AS x WHERE selector <> '')"""
+ORACLES["parse_log"] = _LOG + " SELECT page_id, operation, success, selector, fallback, attempts, error FROM log"
+ORACLES["operation_metrics"] = _LOG + f"""
+SELECT operation, count(*) AS total, count_if(ok) AS successful, count_if(NOT ok) AS failed FROM (
+  SELECT type AS operation, error = '' AS ok FROM ({OPS}) AS o UNION ALL SELECT operation, success FROM log) AS b GROUP BY operation"""
+ORACLES["selector_rates"] = _LOG + f"""
+SELECT selector, round(avg(CASE WHEN outcome = 'hit' THEN 1.0 ELSE 0.0 END), 6) AS success_rate
+FROM (SELECT selector, outcome FROM ({I.as_sql(I.SELECTOR_LOG)}) AS l UNION ALL SELECT selector, outcome FROM tried) AS b WHERE outcome <> 'miss' GROUP BY selector"""
 _SESSIONS = f"""SELECT session_id, count(*) AS total_operations, count_if(error = '') AS successful, count_if(error <> '') AS failed,
   round(avg(duration), 6) AS mean_duration, min(ts) AS started, max(ts) AS ended FROM ({OPS}) AS o GROUP BY session_id"""
 ORACLES["session_metrics"] = _SESSIONS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import tempfile
 import uuid
@@ -905,15 +906,29 @@ def _operations(spark, sf):
     return I.derive(spark, sf, I.OPERATIONS)
 
 
+def _logged_cards(spark, sf):
+    """Cards with the log of their extraction; the first container selector cannot be read."""
+    broken = dataclasses.replace(LIST_CARD, container=("section::before", *LIST_CARD.container))
+    return extract.listing_cards(_listings(spark, sf), BASE_URL, as_of(), broken, log=True)
+
+
+@query
+def parse_log(spark, sf):
+    return extract.parse_log(_logged_cards(spark, sf))
+
+
 @query
 def operation_metrics(spark, sf):
-    log = _operations(spark, sf).select(F.col("type").alias("operation"), (F.col("error") == "").alias("success"))
-    return metrics.operation_metrics(log)
+    """Counts by field over the log of the card extraction, and by type over the recorded operations."""
+    recorded = _operations(spark, sf).select(F.col("type").alias("operation"), (F.col("error") == "").alias("success"))
+    return metrics.operation_metrics(extract.parse_log(_logged_cards(spark, sf)).select("operation", "success").unionByName(recorded))
 
 
 @query
 def selector_rates(spark, sf):
-    rates = metrics.selector_rates(I.derive(spark, sf, I.SELECTOR_LOG))
+    """Rates over the selectors that the card extraction tried, and over recorded ones."""
+    recorded = I.derive(spark, sf, I.SELECTOR_LOG).select("selector", "outcome")
+    rates = metrics.selector_rates(extract.selector_log(_logged_cards(spark, sf)).select("selector", "outcome").unionByName(recorded))
     return rates.withColumn("success_rate", F.round("success_rate", 6))
 
 
