@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,17 @@ HOST = (
     r"(?i)^(?:https?|wss?|ftp):[/\\]*(?:[^/\\?#@]*@)?"
     r"(?:\[[0-9a-f:.]+\]|[^\s/\\?#@:<>^|%\[\]]+)(?::[0-9]*)?(?:[/\\?#]|\z)"
 )
+#: Message of a failed check; {n} is the URL's length, {protocol} and {format} are its own.
+MESSAGES = {
+    "empty_or_invalid_input": "URL is empty or not a string",
+    "url_too_long": "URL exceeds maximum length of {max_url}",
+    "invalid_url_format": "Invalid URL format",
+    "unsupported_protocol": "Protocol '{protocol}' is not allowed. Allowed: {protocols}",
+    "empty_svg_data_url": "Empty SVG data URL detected",
+    "data_url_too_short": "Data URL too short ({n} < {min_data_url})",
+    "invalid_base64_data": "Invalid or empty base64 data",
+    "unsupported_format": "Image format '{format}' is not supported",
+}
 # ---------------------------------------------------------------------------
 
 
@@ -117,8 +129,21 @@ def is_valid_image(url: Column, policy: ImagePolicy = DEFAULT_POLICY) -> Column:
     return reject_reason(url, policy).isNull()
 
 
+def reject_message(url: Column, reason: Column, policy: ImagePolicy = DEFAULT_POLICY) -> Column:
+    """Message that goes with a reject reason: a fixed text with the URL's values, or the custom rule's own."""
+    own = {"n": F.length(url).cast("string"), "protocol": url_protocol(url), "format": image_format(url)}
+    fixed = {"max_url": policy.max_url, "min_data_url": policy.min_data_url, "protocols": ", ".join(policy.protocols)}
+    out = F.when(F.lit(False), F.lit(""))
+    for name, text in MESSAGES.items():
+        parts = [own[p] if p in own else F.lit(str(fixed.get(p, p))) for p in re.split(r"[{}]", text) if p]
+        out = out.when(reason == name, F.concat(*parts))
+    for rule in policy.rules:
+        out = out.when(reason == f"custom_rule_{rule.name}", F.lit(rule.message))
+    return out
+
+
 def check_image(url: Column, policy: ImagePolicy = DEFAULT_POLICY) -> Column:
-    """Struct (is_valid, reason, protocol, format, size, recommendations)."""
+    """Struct (is_valid, reason, protocol, format, size, recommendations, message)."""
     reason, fmt = reject_reason(url, policy), image_format(url)
     advice = F.array(
         F.lit("Consider using supported formats: " + ", ".join(policy.formats)),
@@ -131,6 +156,7 @@ def check_image(url: Column, policy: ImagePolicy = DEFAULT_POLICY) -> Column:
         F.when(reason.isNull() & fmt.isin(*policy.formats), fmt).alias("format"),
         F.length(F.coalesce(url, F.lit(""))).alias("size"),
         F.when(reason == "unsupported_format", advice).alias("recommendations"),
+        reject_message(url, reason, policy).alias("message"),
     )
 
 

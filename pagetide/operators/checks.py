@@ -42,10 +42,3 @@ def validation_distributions(checked: DataFrame) -> DataFrame:
         F.col("gp") == 0, F.col("protocol")
     ).otherwise(F.col("format"))
     return sets.select(dim.alias("dimension"), value.alias("value"), "n").where("value is not null")
-
-
-def distribution_map(dist: DataFrame, dimension: str) -> DataFrame:
-    """A (small) distribution as one map column."""
-    rows = dist.where(F.col("dimension") == dimension)
-    entries: Column = F.collect_list(F.struct("value", "n"))
-    return rows.agg(F.map_from_entries(entries).alias(dimension))

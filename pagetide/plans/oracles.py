@@ -518,7 +518,13 @@ _STRICT = (
 )
 ORACLES["image_validation"] = f"""WITH c AS ({checked(ADDRESSES, 'id', _STRICT)})
 SELECT id, is_valid, reason, protocol, format, size, CASE WHEN reason = 'unsupported_format' THEN
-  'Consider using supported formats: jpg, jpeg, png, gif, webp, svg, bmp, ico; Verify the image format is correct' END AS recommendations FROM c"""
+  'Consider using supported formats: jpg, jpeg, png, gif, webp, svg, bmp, ico; Verify the image format is correct' END AS recommendations,
+  CASE reason WHEN 'empty_or_invalid_input' THEN 'URL is empty or not a string' WHEN 'url_too_long' THEN 'URL exceeds maximum length of 2000'
+    WHEN 'invalid_url_format' THEN 'Invalid URL format' WHEN 'unsupported_protocol' THEN 'Protocol ''' || ({protocol("url")}) || ''' is not allowed. Allowed: http:, https:, data:'
+    WHEN 'empty_svg_data_url' THEN 'Empty SVG data URL detected' WHEN 'data_url_too_short' THEN 'Data URL too short (' || length(url) || ' < 100)'
+    WHEN 'invalid_base64_data' THEN 'Invalid or empty base64 data' WHEN 'unsupported_format' THEN 'Image format ''' || {image_format("url")} || ''' is not supported'
+    WHEN 'custom_rule_no_query' THEN 'query' WHEN 'custom_rule_short' THEN 'long' END AS message
+FROM c"""
 _CHECKED = f"WITH c AS ({checked(ADDRESSES, 'id')})"
 ORACLES["validation_totals"] = _CHECKED + """
 SELECT count(*) AS total, count_if(is_valid) AS valid, count_if(NOT is_valid) AS invalid FROM c"""
@@ -767,13 +773,15 @@ ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('millisecond' FR
 ORACLES["session_export"] = f"""
 SELECT session_id, op_id AS operation_id, type, {ISO.format('ts')} AS timestamp, coalesce(CAST(duration AS VARCHAR), '') AS duration, error = '' AS success, error FROM ({OPS}) AS o"""
 ORACLES["session_report"] = f"""
-SELECT session_id, 0 AS part, '' AS order_key, '<h1>Debug Session: ' || session_id || '</h1><p>Started: ' || {ISO.format('min(ts)')} || '</p><div>Total: ' || count(*) ||
-  '</div><div>Success: ' || count_if(error = '') || '</div><div>Failed: ' || count_if(error <> '') || '</div><div>Avg Time: ' ||
-  printf('%.2f', coalesce(avg(duration), 0)) || 'ms</div><h2>Operations</h2>' AS html FROM ({OPS}) AS o GROUP BY session_id
+SELECT session_id, 0 AS part, '' AS order_key, '<!doctype html><html lang="en"><meta charset="utf-8"><title>Session ' || session_id || '</title><h1>Session ' || session_id ||
+  '</h1><dl><dt>Start</dt><dd>' || {ISO.format('min(ts)')} || '</dd><dt>Address</dt><dd>' || CASE WHEN session_id % 3 > 0 THEN '/s?a=1&amp;b=' || session_id ELSE 'none' END ||
+  '</dd><dt>Length</dt><dd>' || (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 || ' ms</dd><dt>Operations</dt><dd>' || count(*) || ' in all, ' || count_if(error = '') || ' done, ' || count_if(error <> '') ||
+  ' failed</dd><dt>Mean time</dt><dd>' || printf('%.2f', coalesce(avg(duration), 0)) || ' ms</dd></dl><table>' AS html FROM ({OPS}) AS o GROUP BY session_id
 UNION ALL
 SELECT session_id, 1, {ISO.format('ts')} || ' ' || lpad(CAST(op_id AS VARCHAR), 20, '0'),
-  '<div class="operation ' || CASE WHEN error = '' THEN 'success' ELSE 'error' END || '"><strong>' || type || '</strong> (' || op_id || ')<br>Time: ' || {ISO.format('ts')} ||
-  '<br>Duration: ' || coalesce(CAST(duration AS VARCHAR), '0') || 'ms' || CASE WHEN error = '' THEN '' ELSE '<br>Error: ' || error END || '</div>' FROM ({OPS}) AS o"""
+  '<tr class="' || CASE WHEN error = '' THEN 'done' ELSE 'failed' END || '"><td>' || {ISO.format('ts')} || '</td><td>' || op_id || '</td><td>' || type || '</td><td>' || coalesce(CAST(duration AS VARCHAR), '0') ||
+  ' ms</td><td>' || error || '</td></tr>' FROM ({OPS}) AS o
+UNION ALL SELECT DISTINCT session_id, 2, '', '</table></html>' FROM ({OPS}) AS o"""
 ORACLES["prompts"] = """
 SELECT doc_id, 'Summarise release 1.' || doc_id || ' as JSON with summary, keyChanges, newFeatures, importantBugFixes and skinContent.' || chr(10) ||
   'Title: ' || source || chr(10) || 'URL: /d/' || doc_id || chr(10) || chr(10) || text AS prompt FROM documents WHERE text <> ''"""

@@ -379,7 +379,7 @@ def image_validation(spark, sf):
     checked = checks.validate_urls(_addresses(spark, sf), policy=strict)
     return checked.select(
         "id", "is_valid", "reason", "protocol", "format", "size",
-        F.array_join("recommendations", "; ").alias("recommendations"),
+        F.array_join("recommendations", "; ").alias("recommendations"), "message",
     )
 
 
@@ -767,7 +767,8 @@ def session_export(spark, sf):
 
 @query
 def session_report(spark, sf):
-    return stores.session_report(I.derive(spark, sf, I.OPERATIONS))
+    address = F.when(F.col("session_id") % 3 > 0, F.concat(F.lit("/s?a=1&b="), F.col("session_id").cast("string")))
+    return stores.session_report(I.derive(spark, sf, I.OPERATIONS).withColumn("url", address))
 
 
 @query

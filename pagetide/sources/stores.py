@@ -185,35 +185,51 @@ def _escape(text: Column) -> Column:
     return out
 
 
-def session_report(ops: DataFrame) -> DataFrame:
-    """HTML report lines (session_id, part, order_key, html).
+def _tagged(tag: str, *parts: Column | str) -> Column:
+    return F.concat(F.lit(f"<{tag}>"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit(f"</{tag}>"))
+
+
+def session_report(ops: DataFrame, url: str = "url") -> DataFrame:
+    """HTML report lines (session_id, part, order_key, html): head, a table row per operation, end.
 
     The lines of a session are rows rather than one string, so a session of any
     size never has to fit in one task. Sort by part and order_key to read it.
+    The address is the first that the session's operations name in ``url``, if
+    there is such a column; the length runs from the first to the last operation.
     """
-    stats = session_metrics(ops)
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    if url not in ops.columns:
+        ops = ops.withColumn(url, F.lit(None).cast("string"))
+    address = ops.where(F.col(url).isNotNull()).groupBy("session_id").agg(F.min_by(url, "ts").alias("address"))
+    stats = session_metrics(ops).join(address, "session_id", "left")
+    length = F.timestamp_diff("MILLISECOND", F.col("started"), F.col("ended")).cast("string")
+    name = _escape(F.col("session_id").cast("string"))
+    facts = {
+        "Start": F.date_format("started", iso),
+        "Address": F.coalesce(_escape(F.col("address")), F.lit("none")),
+        "Length": F.concat(length, F.lit(" ms")),
+        "Operations": F.format_string("%d in all, %d done, %d failed", "total_operations", "successful", "failed"),
+        "Mean time": F.format_string("%.2f ms", F.coalesce("mean_duration", F.lit(0.0))),
+    }
     head = stats.select(
         "session_id", F.lit(0).alias("part"), F.lit("").alias("order_key"),
-        F.format_string(
-            "<h1>Debug Session: %s</h1><p>Started: %s</p><div>Total: %d</div><div>Success: %d</div>"
-            "<div>Failed: %d</div><div>Avg Time: %.2fms</div><h2>Operations</h2>",
-            F.col("session_id").cast("string"), F.date_format("started", iso),
-            "total_operations", "successful", "failed", F.coalesce("mean_duration", F.lit(0.0)),
+        F.concat(
+            F.lit('<!doctype html><html lang="en"><meta charset="utf-8">'), _tagged("title", "Session ", name), _tagged("h1", "Session ", name),
+            _tagged("dl", *[x for k, v in facts.items() for x in (_tagged("dt", k), _tagged("dd", v))]), F.lit("<table>"),
         ).alias("html"),
     )
     failed = F.coalesce(F.col("error") != "", F.lit(False))
+    cells = (
+        F.date_format("ts", iso), F.col("op_id").cast("string"), F.col("type"),
+        F.concat(F.coalesce(F.col("duration").cast("string"), F.lit("0")), F.lit(" ms")), F.coalesce("error", F.lit("")),
+    )
     body = ops.select(
         "session_id", F.lit(1).alias("part"),
         F.concat_ws(" ", F.date_format("ts", iso), F.lpad(F.col("op_id").cast("string"), 20, "0")).alias("order_key"),
         F.concat(
-            F.format_string(
-                '<div class="operation %s"><strong>%s</strong> (%s)<br>Time: %s<br>Duration: %sms',
-                F.when(failed, "error").otherwise("success"), F.col("type"), F.col("op_id").cast("string"),
-                F.date_format("ts", iso), F.coalesce(F.col("duration").cast("string"), F.lit("0")),
-            ),
-            F.when(failed, F.concat(F.lit("<br>Error: "), _escape(F.col("error")))).otherwise(""),
-            F.lit("</div>"),
+            F.lit('<tr class="'), F.when(failed, "failed").otherwise("done"), F.lit('">'),
+            *[_tagged("td", _escape(c)) for c in cells], F.lit("</tr>"),
         ).alias("html"),
     )
-    return head.unionByName(body)
+    tail = stats.select("session_id", F.lit(2).alias("part"), F.lit("").alias("order_key"), F.lit("</table></html>").alias("html"))
+    return head.unionByName(body).unionByName(tail)

@@ -13,7 +13,8 @@ from compare import compare, connect
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "page_tokens page_elements first_match page_first_card url_distributions keywords masked_text change_feed "
-    "state_merge parsed_responses embeds rolling_hour stream_changes"
+    "state_merge parsed_responses embeds rolling_hour stream_changes element_text table_texts release_records parse_log "
+    "image_validation session_report record_quarantine stored_summaries stream_late"
 ).split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("PAGETIDE_ALL") else SAMPLE
 
