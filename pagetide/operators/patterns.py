@@ -64,13 +64,13 @@ def match_confidence(text: Column) -> Column:
 
 
 def pattern_hits(pages: DataFrame, patterns: Sequence[Pattern], key: str = "page_id") -> DataFrame:
-    """Hits per pattern; an element found by two selectors counts twice."""
+    """Hits per pattern with confidence and position; an element found by two selectors counts twice."""
     ranked = sorted(patterns, key=lambda p: -p.priority)
     owners = [(i, s) for i, p in enumerate(ranked) for s in p.selectors]
     sels = [s for _, s in owners]
-    els = match(elements(pages, key, tree=needs_tree(sels)), sels, key)
+    els = match(with_positions(elements(pages, key, tree=True), key), sels, key)
     rows = attach_content(
-        els, F.size("hits") > 0, ["open", "tag", "attr_names", "attr_values", "hits"], key
+        els, F.size("hits") > 0, ["open", "tag", "attr_names", "attr_values", "hits", "x", "y"], key
     ).withColumn("hit", F.explode("hits"))
     owner = F.get(F.array(*[F.lit(i) for i, _ in owners]), F.col("hit"))
     rows = rows.withColumn("p", owner)
@@ -93,42 +93,47 @@ def pattern_hits(pages: DataFrame, patterns: Sequence[Pattern], key: str = "page
         F.col("p").alias("pattern_order"),
         F.get(F.array(*[F.lit(s) for s in sels]), F.col("hit")).alias("selector"),
         "open", "tag", "value",
-        match_confidence(F.col("text")).alias("confidence"),
+        match_confidence(F.col("text")).alias("confidence"), "x", "y",
     )
 
 
-def element_positions(els: DataFrame, key: str = "page_id") -> DataFrame:
-    """Layout guess: x adds 10 per earlier sibling along the path, y 20 per level.
+def with_positions(els: DataFrame, key: str = "page_id") -> DataFrame:
+    """Add ``x`` and ``y``, a layout guess: x adds 10 per earlier sibling along the path, y 20 per level.
 
     The sum along the path is a running sum over opening and closing positions,
     so no element is paired with its ancestors. Needs ``depth`` and ``parent``.
     """
+    cols = [c for c in els.columns if c != key]
     sib = Window.partitionBy(key, "parent").orderBy("open")
-    own = F.when(F.col("depth") >= 1, (F.row_number().over(sib) - 1) * STEP_X).otherwise(0)
-    rows = els.where("open > 0").withColumn("own", own).withColumn(
-        "last", F.greatest("close", F.col("open") + 1)
-    )
-    events = rows.select(
-        key, "open", "tag", "depth",
+    own = F.when((F.col("depth") >= 1) & (F.col("open") > 0), (F.row_number().over(sib) - 1) * STEP_X).otherwise(0)
+    wide = F.col("close") > F.col("open")
+    events = els.withColumn("own", own).select(
+        key, F.struct(*cols).alias("el"),
         F.inline(F.array(
             F.struct(F.col("open").alias("at"), F.lit(1).alias("ord"), F.col("own").alias("dx")),
             F.struct(
-                F.when(F.col("close") > F.col("open"), F.col("close")).otherwise(F.col("open")).alias("at"),
-                F.when(F.col("close") > F.col("open"), 0).otherwise(2).alias("ord"),
+                F.when(wide, F.col("close")).otherwise(F.col("open")).alias("at"),
+                F.when(wide, 0).otherwise(2).alias("ord"),
                 (-F.col("own")).alias("dx"),
             ),
         )),
-    )
+    ).withColumn("el", F.when(F.col("ord") == 1, F.col("el")))  # the closing event is a marker only
     along = Window.partitionBy(key).orderBy("at", "ord").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         events.withColumn("x", F.sum("dx").over(along))
         .where("ord = 1")
-        .select(key, "open", "tag", "x", (F.col("depth") * STEP_Y).alias("y"))
+        .select(key, *[F.col(f"el.{c}").alias(c) for c in cols], "x", (F.col("el.depth") * STEP_Y).alias("y"))
     )
 
 
+def element_positions(els: DataFrame, key: str = "page_id") -> DataFrame:
+    """Position of every element, see ``with_positions``."""
+    narrow = els.select(key, "open", "close", "tag", "depth", "parent")
+    return with_positions(narrow, key).where("open > 0").select(key, "open", "tag", "x", "y")
+
+
 def page_chunks(
     pages: DataFrame, size: int = CHUNK_CHARS, key: str = "page_id", html: str = "html"
 ) -> DataFrame:

@@ -438,7 +438,13 @@ def confidence(text: str) -> str:
     )
 
 
-ORACLES["pattern_hits"] = ON_PAGES + f""",
+_PLACED = """
+sib AS (SELECT *, CASE WHEN depth >= 1 THEN 10 * (row_number() OVER (PARTITION BY page_id, parent ORDER BY open) - 1) ELSE 0 END AS own FROM els),
+placed AS (
+  SELECT a.page_id, a.open, a.tag, CAST(sum(b.own) AS BIGINT) AS x, a.depth * 20 AS y
+  FROM sib a JOIN sib b ON b.page_id = a.page_id AND (b.open = a.open OR (b.open < a.open AND a.open < b.close))
+  GROUP BY a.page_id, a.open, a.tag, a.depth)"""
+ORACLES["pattern_hits"] = ON_PAGES + f""",{_PLACED},
 raw AS (SELECT e.*, {text_of('e')} AS text FROM els e JOIN docs USING (page_id)),
 picked AS (
   SELECT *, 'lead' AS pattern, 0 AS pattern_order, 'article p' AS selector, text AS value FROM raw e
@@ -447,15 +453,11 @@ picked AS (
   UNION ALL SELECT *, 'link', 2, 'nav a', text FROM raw e WHERE tag = 'a' AND {under('nav')}
   UNION ALL SELECT *, 'link', 2, 'li a', text FROM raw e WHERE tag = 'a' AND {under('li')}
 )
-SELECT page_id, pattern, pattern_order, selector, open, tag, value, {confidence('text')} AS confidence FROM picked e"""
+SELECT e.page_id, pattern, pattern_order, selector, e.open, e.tag, value, {confidence('text')} AS confidence, x, y FROM picked e JOIN placed l ON l.page_id = e.page_id AND l.open = e.open"""
 ORACLES["match_confidence"] = ON_LISTINGS + f"""
 SELECT e.page_id, e.open, e.tag, {confidence(text_of('e'))} AS confidence FROM els e JOIN docs USING (page_id)
 WHERE {has_attr('class', 'e.token')} OR {has_attr('id', 'e.token')} OR e.tag = 'b'"""
-ORACLES["element_positions"] = ON_PAGES + """,
-sib AS (SELECT *, CASE WHEN depth >= 1 THEN 10 * (row_number() OVER (PARTITION BY page_id, parent ORDER BY open) - 1) ELSE 0 END AS own FROM els)
-SELECT a.page_id, a.open, a.tag, CAST(sum(b.own) AS BIGINT) AS x, a.depth * 20 AS y
-FROM sib a JOIN sib b ON b.page_id = a.page_id AND (b.open = a.open OR (b.open < a.open AND a.open < b.close))
-GROUP BY a.page_id, a.open, a.tag, a.depth"""
+ORACLES["element_positions"] = ON_PAGES + f",{_PLACED} SELECT * FROM placed"
 _CHUNKS = """SELECT page_id * 100000 + c AS page_id, substr(html, CAST(c * 1500 + 1 AS BIGINT), 1500) AS html
 FROM (SELECT page_id, html, unnest(range(0, CAST(ceil(length(html) / 1500.0) AS BIGINT))) AS c FROM pages) AS z"""
 ORACLES["chunk_hits"] = "WITH " + elements_cte(_CHUNKS) + f"""
