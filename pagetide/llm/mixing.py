@@ -1,15 +1,17 @@
 """Operator 5: mixing sources to target weights. DataFrame functions only.
 
 Words of a source form one stream, cut into blocks of fixed length. Targets give each
-source a number of slots. All slots go through one pseudorandom permutation onto the
-places of the output shards, so the source counts of a shard are multinomial draws
-conditioned on the totals: shards vary, totals don't. The slots of a source pass
-through its own permutation of block indexes, one per pass, so a block comes at most
-once per pass; slots and blocks join by (source, block).
+source a number of slots. First each output shard draws its source counts: a multinomial
+draw conditioned on the sources' totals, made by one pseudorandom permutation of all slots
+onto the places of the shards. Shards vary, totals don't. A shard then fills its places
+from the counts: shard after shard takes a source's next slots, and each slot passes through
+the source's permutation of block indexes, one per pass, so a block comes at most once per
+pass. Slots and blocks join by (source, block).
 
 No step gathers a source: streams are laid out with sums per (source, hash bucket) and
-running sums inside a bucket, slots come from chunks of a source, joins are keyed by
-(source, block).
+running sums inside a bucket, draws come from chunks of a source, counts are summed up per
+group of shards first, and slots and blocks meet in a merge join keyed by (source, block):
+their number is not known when the join is planned, so they are never broadcast.
 
 Rows: null source is a source of its own, the last; null or blank text has size 0 and
 takes nothing; repeated rows are rows of their own; an empty table gives an empty one.
@@ -34,6 +36,8 @@ SHARE = 1.5
 REPEATS = 2.0
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 1024
+#: Shards whose counts are summed up before a source's running sum.
+SHARD_GROUP = 1024
 
 
 def source_key(source: Column) -> Column:
@@ -104,7 +108,7 @@ class Mix:
 
     @property
     def blocks(self) -> DataFrame:
-        return self.slots.join(self.pieces, ["skey", "block"])
+        return self.slots.hint("merge").join(self.pieces.hint("merge"), ["skey", "block"])
 
 
 def mix(
@@ -145,16 +149,12 @@ def mix(
         round_keys(F.lit("places"), F.col("_all")).alias("_places"),
     )
     chunks = keyed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK))))
-    slots = chunks.repartition("skey", "_chunk").withColumn(
+    draws = chunks.repartition("skey", "_chunk").withColumn(
         "_j", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("n_slots")) - 1))
     )
-    turn = F.floor(F.col("_j") / F.col("n_blocks"))
     place = permute(F.col("_ahead") + F.col("_j"), F.col("_all"), F.col("_places"))
-    slots = slots.select(
-        "skey", turn.alias("turn"),
-        permute(F.col("_j") % F.col("n_blocks"), F.col("n_blocks"), F.element_at("_keys", (turn + 1).cast("int"))).alias("block"),
-        place.alias("_place"),
-    ).select("skey", "turn", "block", F.floor(F.col("_place") / shard_blocks).alias("shard"), (F.col("_place") % shard_blocks).alias("slot"))
+    counts = draws.groupBy("skey", F.floor(place / shard_blocks).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    slots = filled(counts, keyed)
     pieces = placed.where("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     ).select(
@@ -165,6 +165,25 @@ def mix(
     return Mix(placed, sources.select("skey", "source", "size", "weight", "target", "n_blocks", "n_slots"), slots, pieces)
 
 
+def filled(counts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Places of the shards (skey, turn, block, shard, slot) from the drawn counts (skey, shard, n) of their sources."""
+    group = F.floor(F.col("shard") / SHARD_GROUP).alias("_group")
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda *keys: F.coalesce(F.sum("n").over(before(*keys)), F.lit(0))
+    rows = counts.withColumn("_group", group)
+    groups = rows.groupBy("skey", "_group").agg(F.sum("n").alias("n")).select("skey", "_group", ahead("skey", "_group").alias("_base"))
+    rows = rows.withColumn("_first", ahead("skey", "_group", "shard")).withColumn("_slot", ahead("shard", "skey"))
+    rows = rows.join(groups, ["skey", "_group"]).join(keyed.select("skey", "n_blocks", "_keys"), "skey")
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.withColumn("_j", F.col("_base") + F.col("_first") + F.col("_i"))
+    turn = F.floor(F.col("_j") / F.col("n_blocks"))
+    return rows.select(
+        "skey", turn.alias("turn"),
+        permute(F.col("_j") % F.col("n_blocks"), F.col("n_blocks"), F.element_at("_keys", (turn + 1).cast("int"))).alias("block"),
+        "shard", (F.col("_slot") + F.col("_i")).alias("slot"),
+    )
+
+
 def mixed_documents(plan: Mix, text: str = "text") -> DataFrame:
     """The documents of the mix: a row per document and turn with the words of its drawn blocks, in order.
 
