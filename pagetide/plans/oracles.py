@@ -7,9 +7,6 @@ are fine for a check on small tables only.
 
 from __future__ import annotations
 
-from pagetide.functions import masking as M
-from pagetide.functions import text as X
-from pagetide.operators import notices as T
 from pagetide.plans import inputs as I
 
 ORACLES: dict[str, str] = {}
@@ -22,7 +19,24 @@ CLEAN = (
 TOKEN = r"""</?[A-Za-z](?:[^>"'']+|"[^"]*"|''[^'']*'')*>|<[!?/][^>]*>|<[^<]*|[^<]+"""
 LISTINGS = I.as_sql(I.LISTINGS)
 ADDRESSES = I.as_sql(I.ADDRESSES)
-SP = X.SPACE
+
+# ---- fixed values, written out anew so that the checks can disagree -------
+SP = r"\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+KANA_KANJI = r"[\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{4e00}-\x{9faf}]"
+VERSION_FIELD, LINK_FIELD, LINK_TEXT = "📋 バージョン", "🔗 リンク", "パッチノートを読む"
+SUMMARY_FIELD, CHANGES_FIELD, MODEL_FIELD = "📝 AI要約", "🎯 主要な変更点", "🤖 要約生成"
+LIST_FIELDS = {"new_features": "✨ 新機能", "important_bug_fixes": "🔧 重要なバグ修正", "skin_content": "🎨 スキン・コンテンツ"}
+RELEASE_CONTENT = "🎮 **新しいパッチノートが公開されました！**"
+ERROR_CONTENT, ERROR_TITLE = "🚨 **システムアラート**", "❌ システムエラー"
+ERROR_PREFIX, CONTEXT_FIELD = "エラーが発生しました: ", "📍 コンテキスト"
+API_KEY_MASK, WEBHOOK_MASK, PERSONAL_MASK = "[API_KEY_MASKED]", "[WEBHOOK_MASKED]", "[PERSONAL_INFO_MASKED]"
+WEBHOOK_URL = r"https://discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+"
+KEY_RULES = (r"AIza[0-9A-Za-z_-]{35}", r"sk-[a-zA-Z0-9]{48}", r"Bot\s+[A-Za-z0-9._-]{59}")
+SENSITIVE_WORDS = (
+    "password", "token", "key", "secret", "auth", "credential", "api_key", "apikey", "webhook", "discord_webhook",
+    "access_token", "refresh_token", "private", "confidential", "sensitive",
+)
+# ---------------------------------------------------------------------------
 
 
 def decode(text: str) -> str:
@@ -580,7 +594,7 @@ ORACLES["readability"] = f"""
 SELECT doc_id, {ease('w', 's', 'y')} AS score FROM (SELECT doc_id, {WORDS} AS w, {SENTENCES} AS s, {SYLLABLES} AS y FROM documents) AS d"""
 ORACLES["syllables"] = f"SELECT doc_id, {SYLLABLES} AS syllables FROM documents"
 LANGUAGE = rf"""CASE WHEN length(regexp_replace(text, '[{SP}]', '', 'g')) = 0 THEN 'unknown'
-  WHEN len(regexp_extract_all(text, '{X.KANA_KANJI}')) / length(regexp_replace(text, '[{SP}]', '', 'g')) > 0.1 THEN 'ja' ELSE 'en' END"""
+  WHEN len(regexp_extract_all(text, '{KANA_KANJI}')) / length(regexp_replace(text, '[{SP}]', '', 'g')) > 0.1 THEN 'ja' ELSE 'en' END"""
 ORACLES["language_tag"] = f"""
 SELECT doc_id, {LANGUAGE} AS language FROM (
   SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(10) WHEN doc_id % 3 = 0 THEN text || repeat('パッチ漢字', CAST(floor(length(text) / 20) AS BIGINT)) ELSE text END AS text FROM documents) AS d"""
@@ -836,15 +850,15 @@ rows AS (
 ),
 fields AS (
 """ + f"""
-  SELECT source, 0 AS slot, '{T.VERSION_FIELD}' AS name, version AS value, true AS inline FROM rows
-  UNION ALL SELECT source, 1, '{T.LINK_FIELD}', '[{T.LINK_TEXT}](' || url || ')', true FROM rows
-  UNION ALL SELECT source, 2, '{T.SUMMARY_FIELD}', {cut('summary')}, false FROM rows WHERE summary <> ''
-  UNION ALL SELECT source, 3, '{T.CHANGES_FIELD}', {numbered('key_changes')}, false FROM rows WHERE summary IS NOT NULL AND len(key_changes) > 0
+  SELECT source, 0 AS slot, '{VERSION_FIELD}' AS name, version AS value, true AS inline FROM rows
+  UNION ALL SELECT source, 1, '{LINK_FIELD}', '[{LINK_TEXT}](' || url || ')', true FROM rows
+  UNION ALL SELECT source, 2, '{SUMMARY_FIELD}', {cut('summary')}, false FROM rows WHERE summary <> ''
+  UNION ALL SELECT source, 3, '{CHANGES_FIELD}', {numbered('key_changes')}, false FROM rows WHERE summary IS NOT NULL AND len(key_changes) > 0
 """ + "".join(
     f"  UNION ALL SELECT source, {4 + i}, '{name}', {numbered(c + '[1:3]')}, false FROM rows WHERE summary IS NOT NULL AND len({c}) > 0\n"
-    for i, (c, name) in enumerate(T.LIST_FIELDS.items())
+    for i, (c, name) in enumerate(LIST_FIELDS.items())
 ) + f"""
-  UNION ALL SELECT source, 9, '{T.MODEL_FIELD}', 'summary-model | 2024/1/31 0:00:00', true FROM rows WHERE summary IS NOT NULL
+  UNION ALL SELECT source, 9, '{MODEL_FIELD}', 'summary-model | 2024/1/31 0:00:00', true FROM rows WHERE summary IS NOT NULL
 ),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS pos FROM fields)"""
 ORACLES["embed_fields"] = f"WITH {_NOTICES}\nSELECT source, pos, name, value, inline FROM placed"
@@ -861,15 +875,15 @@ def js(text: str) -> str:
 
 ORACLES["outbox"] = f"""WITH {_NOTICES},
 fs AS (SELECT source, string_agg('{{"name":' || {js('name')} || ',"value":' || {js('value')} || ',"inline":' || inline || '}}', ',' ORDER BY pos) AS body FROM placed GROUP BY source)
-SELECT source, version, '{{"content":"{T.RELEASE_CONTENT}","embeds":[{{"title":"Patch ' || version || '","url":"' || url || '","color":' ||
+SELECT source, version, '{{"content":"{RELEASE_CONTENT}","embeds":[{{"title":"Patch ' || version || '","url":"' || url || '","color":' ||
   CASE WHEN summary IS NULL THEN 39423 ELSE 65433 END || ',"timestamp":"2024-01-31T00:00:00.000Z","footer":{{"text":"Release notices' ||
   CASE WHEN summary IS NULL THEN '' ELSE ' | AI要約付き' END || '"}},"fields":[' || body || ']' ||
   coalesce(',"image":{{"url":"' || ({_IMAGE}) || '"}}', '') || '}}]}}' AS payload
 FROM rows JOIN fs USING (source)"""
 ORACLES["error_alerts"] = f"""
-SELECT event_id, '{{"content":"{T.ERROR_CONTENT}","embeds":[{{"title":"{T.ERROR_TITLE}","description":' || {js(f"'{T.ERROR_PREFIX}' || message")} ||
+SELECT event_id, '{{"content":"{ERROR_CONTENT}","embeds":[{{"title":"{ERROR_TITLE}","description":' || {js(f"'{ERROR_PREFIX}' || message")} ||
   ',"color":16711680,"timestamp":"2024-01-31T00:00:00.000Z","footer":{{"text":"Release notices - Error"}}' ||
-  CASE WHEN context IS NULL THEN '' ELSE ',"fields":[{{"name":"{T.CONTEXT_FIELD}","value":"' || context || '","inline":false}}]' END || '}}]}}' AS payload
+  CASE WHEN context IS NULL THEN '' ELSE ',"fields":[{{"name":"{CONTEXT_FIELD}","value":"' || context || '","inline":false}}]' END || '}}]}}' AS payload
 FROM ({ERRORS}) AS e WHERE code IN ('SCRAPING_ERROR', 'DISCORD_ERROR')"""
 
 # ---- masking --------------------------------------------------------------
@@ -880,10 +894,10 @@ TEXTS = f"SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'm' |
 
 def mask(text: str) -> str:
     for pattern, new in (
-        (r"AIza[0-9A-Za-z_-]{35}", M.API_KEY_MASK), (r"sk-[a-zA-Z0-9]{48}", M.API_KEY_MASK),
-        (r"Bot\s+[A-Za-z0-9._-]{59}", M.API_KEY_MASK), (M.WEBHOOK, M.WEBHOOK_MASK),
+        (r"AIza[0-9A-Za-z_-]{35}", API_KEY_MASK), (r"sk-[a-zA-Z0-9]{48}", API_KEY_MASK),
+        (r"Bot\s+[A-Za-z0-9._-]{59}", API_KEY_MASK), (WEBHOOK_URL, WEBHOOK_MASK),
         (r"\b([A-Za-z0-9._%+-]{1,2})[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Z|a-z]{2,})\b", r"\1***@\2"),
-        (r"\b\d{3}-\d{4}-\d{4}\b", M.PERSONAL_MASK), (r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b", M.PERSONAL_MASK),
+        (r"\b\d{3}-\d{4}-\d{4}\b", PERSONAL_MASK), (r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b", PERSONAL_MASK),
     ):
         text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
     return text
@@ -904,14 +918,14 @@ s{number} AS (
 
 _EMAIL = rf"""e AS (SELECT id, regexp_replace(text, '\b([A-Za-z0-9._%+-]{{1,2}})[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}})\b', '\1***@\2', 'g') AS text FROM s3)"""
 ORACLES["masked_length"] = "WITH " + ",".join([
-    f"t AS ({TEXTS})", starred("t", 0, M.API_KEYS[0]), starred("s0", 1, M.API_KEYS[1]), starred("s1", 2, M.API_KEYS[2].removeprefix("(?U)")),
-    starred("s2", 3, M.WEBHOOK), _EMAIL, starred("e", 4, r"\b\d{3}-\d{4}-\d{4}\b"), starred("s4", 5, r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b"),
+    f"t AS ({TEXTS})", starred("t", 0, KEY_RULES[0]), starred("s0", 1, KEY_RULES[1]), starred("s1", 2, KEY_RULES[2]),
+    starred("s2", 3, WEBHOOK_URL), _EMAIL, starred("e", 4, r"\b\d{3}-\d{4}-\d{4}\b"), starred("s4", 5, r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b"),
 ]) + "\nSELECT id, text AS masked FROM s5"
 ORACLES["masked_records"] = f"""
 SELECT id, {mask('text')} AS note, '[MASKED]' AS api_key, {mask('text')} AS line, '[MASKED]' AS author, {mask('text')} AS text FROM ({MESSAGES}) AS m"""
 ORACLES["masked_errors"] = rf"""
 SELECT id, regexp_replace(regexp_replace({mask('text')}, '/Users/[^/]+', '/Users/[USER]', 'g'), '\\Users\\[^\\]+', '\\Users\\[USER]', 'g') AS message FROM ({TEXTS}) AS t"""
-_SENSITIVE = "regexp_matches(lower(key), '" + "|".join(M.SENSITIVE_WORDS) + "')"
+_SENSITIVE = "regexp_matches(lower(key), '" + "|".join(SENSITIVE_WORDS) + "')"
 ORACLES["settings_audit"] = f"""WITH s AS ({I.as_sql(I.SETTINGS)})
 SELECT owner, key || ' appears to be too short for security' AS issue FROM s WHERE {_SENSITIVE} AND length(value) < 32
 UNION ALL SELECT owner, key || ' appears to be a test/demo key' FROM s WHERE {_SENSITIVE} AND regexp_matches(lower(value), 'test|demo')"""
