@@ -78,6 +78,13 @@ def attr_or_empty(name: str, token: str = "token") -> str:
     return f"CASE WHEN {has_attr(name, token)} THEN {value} END"
 
 
+def attributes(token: str = "token", ordered: bool = False) -> str:
+    """All attributes of a token as name=value, in the order written or by name."""
+    value = decode("regexp_extract(a, '\"([^\"]*)\"', 1)")
+    pairs = f"""list_transform(regexp_extract_all({token}, '[A-Za-z-]+="[^"]*"', 0), lambda a: lower(regexp_extract(a, '^([A-Za-z-]+)=', 1)) || '=' || {value})"""
+    return f"array_to_string({f'list_sort({pairs})' if ordered else pairs}, ';')"
+
+
 def has_class(name: str, token: str = "token") -> str:
     return f"""regexp_matches({token}, '(?i)\\sclass="([^"]*\\s)?{name}(\\s[^"]*)?"')"""
 
@@ -441,7 +448,7 @@ FROM cards c LEFT JOIN hero h USING (page_id) LEFT JOIN body b USING (page_id) W
 
 ORACLES["xpath_hits"] = ON_LISTINGS + f"""
 SELECT e.page_id, e.open, e.tag, {text_of('e')} AS text, {html_of('e')} AS inner_html,
-  len(regexp_extract_all(token, '[A-Za-z-]+="[^"]*"', 0)) AS n_attributes, {attr_or_empty('class', 'e.token')} AS class
+  {attributes('e.token')} AS attributes, {attr_or_empty('class', 'e.token')} AS class
 FROM els e JOIN docs USING (page_id) WHERE {has_attr('class', 'e.token')}"""
 
 
@@ -476,7 +483,8 @@ _CHUNKS = """SELECT page_id * 100000 + c AS page_id, substr(html, CAST(c * 1500
 FROM (SELECT page_id, html, unnest(range(0, CAST(ceil(length(html) / 1500.0) AS BIGINT))) AS c FROM pages) AS z"""
 ORACLES["chunk_hits"] = "WITH " + elements_cte(_CHUNKS) + f"""
 SELECT page_id // 100000 AS page_id, page_id % 100000 AS chunk, (page_id % 100000) * 1500 AS position,
-  CASE tag WHEN 'li' THEN 'li' WHEN 'p' THEN 'p' ELSE 'h1, h2' END AS selector, open, tag, {text_of('e')} AS text
+  CASE tag WHEN 'li' THEN 'li' WHEN 'p' THEN 'p' ELSE 'h1, h2' END AS selector, open, tag, {text_of('e')} AS text,
+  {html_of('e')} AS inner_html, {attributes('e.token')} AS attributes
 FROM els e JOIN docs USING (page_id) WHERE tag IN ('li', 'p', 'h1', 'h2')"""
 ORACLES["page_edits"] = ON_PAGES + f""",
 cut AS (SELECT page_id, open, close FROM els WHERE tag IN ('nav', 'script', 'style') OR {has_class('ad')})
@@ -484,7 +492,8 @@ SELECT d.page_id, coalesce(string_agg(regexp_replace(t.token, '^<article>$', '<a
 FROM docs d LEFT JOIN (SELECT * FROM tokens t WHERE NOT EXISTS (
   SELECT 1 FROM cut c WHERE c.page_id = t.page_id AND c.open <= t.pos AND t.pos <= c.close)) AS t USING (page_id) GROUP BY d.page_id"""
 ORACLES["task_extract"] = ON_PAGES + f"""
-SELECT e.page_id, 't1' AS task_id, CASE tag WHEN 'li' THEN 'nav li' ELSE 'h1' END AS selector, e.open, e.tag, {text_of('e')} AS text, {html_of('e')} AS inner_html
+SELECT e.page_id, 't1' AS task_id, CASE tag WHEN 'li' THEN 'nav li' ELSE 'h1' END AS selector, e.open, e.tag, {text_of('e')} AS text, {html_of('e')} AS inner_html,
+  {attributes('e.token')} AS attributes
 FROM els e JOIN docs USING (page_id) WHERE (tag = 'li' AND {under('nav')}) OR tag = 'h1'"""
 ORACLES["task_search"] = ON_PAGES + f""",
 found AS (
@@ -688,7 +697,7 @@ found AS (
 ),
 e AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank, open) = 1)
 SELECT d.page_id, CASE WHEN e.open IS NULL THEN 0 ELSE 1 END AS element_count, coalesce(e.tag, 'none') AS tag, {_CLASSES} AS classes,
-  coalesce({has_attr('src', 'e.token')}, false) AS has_src, CASE WHEN e.open IS NULL THEN '' ELSE substr({text_of('e', 'd.toks')}, 1, 200) END AS text,
+  coalesce({attributes('e.token', True)}, '') AS attributes, CASE WHEN e.open IS NULL THEN '' ELSE substr({text_of('e', 'd.toks')}, 1, 200) END AS text,
   {attr('href', 'e.token')} AS href, e.open IS NOT NULL AND {trim(text_of('e', 'd.toks'))} <> '' AS is_valid
 FROM docs d LEFT JOIN e USING (page_id)"""
 ORACLES["element_children"] = ON_LISTINGS + f""",
@@ -865,7 +874,7 @@ ORACLES["embed_fields"] = f"WITH {_NOTICES}\nSELECT source, pos, name, value, in
 _IMAGE = "CASE WHEN is_local THEN 'attachment://patch_' || version || '.jpg' ELSE nullif(image_url, '') END"
 ORACLES["embeds"] = f"""WITH {_NOTICES}
 SELECT r.source, 'Patch ' || r.version AS title, r.url, CASE WHEN r.summary IS NULL THEN 39423 ELSE 65433 END AS color, '2024-01-31T00:00:00.000Z' AS stamp,
-  'Release notices' || CASE WHEN r.summary IS NULL THEN '' ELSE ' | AI要約付き' END AS footer, count(f.slot) AS n_fields, {_IMAGE.replace('version', 'r.version')} AS image
+  'Release notices' || CASE WHEN r.summary IS NULL THEN '' ELSE ' | AI要約付き' END AS footer, string_agg(f.name || '=' || f.value || '=' || f.inline, '|' ORDER BY f.slot) AS fields, {_IMAGE.replace('version', 'r.version')} AS image
 FROM rows r JOIN fields f USING (source) GROUP BY ALL"""
 
 

@@ -286,11 +286,15 @@ def release_records(spark, sf):
 # ---- patterns, chunks, tasks, edits ---------------------------------------
 
 
+def _shown_attributes():
+    return F.array_join(F.zip_with("attr_names", "attr_values", lambda n, v: F.concat(n, F.lit("="), F.coalesce(v, F.lit("")))), ";")
+
+
 @query
 def xpath_hits(spark, sf):
     rows = P.xpath_hits(_listings(spark, sf), "//*[@class]")
     return rows.select(
-        "page_id", "open", "tag", "text", "inner_html", F.size("attr_names").alias("n_attributes"),
+        "page_id", "open", "tag", "text", "inner_html", _shown_attributes().alias("attributes"),
         H.attr("class").alias("class"),
     )
 
@@ -315,7 +319,7 @@ def element_positions(spark, sf):
 @query
 def chunk_hits(spark, sf):
     rows = P.chunk_hits(_pages(spark, sf), ["li", "p", "h1, h2"], size=1500)
-    return rows.select("page_id", "chunk", "position", "selector", "open", "tag", "text")
+    return rows.select("page_id", "chunk", "position", "selector", "open", "tag", "text", "inner_html", _shown_attributes().alias("attributes"))
 
 
 @query
@@ -326,7 +330,7 @@ def page_edits(spark, sf):
 @query
 def task_extract(spark, sf):
     rows = tasks.extract_tasks(_pages(spark, sf), TASKS)
-    return rows.select("page_id", "task_id", "selector", "open", "tag", "text", "inner_html")
+    return rows.select("page_id", "task_id", "selector", "open", "tag", "text", "inner_html", _shown_attributes().alias("attributes"))
 
 
 @query
@@ -559,7 +563,8 @@ def element_analysis(spark, sf):
     rows = R.element_analysis(E.elements(_listings(spark, sf)), ["a.card img", "span", ".hero"])
     return rows.select(
         "page_id", "element_count", "tag", F.array_join("classes", " ").alias("classes"),
-        F.map_contains_key("attributes", "src").alias("has_src"), "text", "href", "is_valid",
+        F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("attributes"),
+        "text", "href", "is_valid",
     )
 
 
@@ -829,7 +834,8 @@ def embeds(spark, sf):
     rows = _notice_rows(spark, sf).select("source", notices.notice_embed(PRODUCT).alias("e"))
     return rows.select(
         "source", "e.title", "e.url", "e.color", F.col("e.timestamp").alias("stamp"),
-        F.col("e.footer.text").alias("footer"), F.size("e.fields").alias("n_fields"),
+        F.col("e.footer.text").alias("footer"), F.array_join(
+            F.transform("e.fields", lambda f: F.concat_ws("=", f["name"], f["value"], f["inline"].cast("string"))), "|").alias("fields"),
         F.col("e.image.url").alias("image"),
     )
 
