@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pagetide.functions import html as H
 from pagetide.operators.elements import elements, page_tokens_of
 from pagetide.operators.selectors import match, needs_tree
-from pagetide.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -113,17 +112,18 @@ def _apply(pages: DataFrame, edit: Edit, key: str) -> DataFrame:
 
 
 def edit_pages(
-    pages: DataFrame, edits: Sequence[Edit], key: str = "page_id", checkpoint_every: int = 4
+    pages: DataFrame, edits: Sequence[Edit], key: str = "page_id",
+    cut: Callable[[DataFrame], DataFrame] | None = None, cut_every: int = 4,
 ) -> DataFrame:
     """Apply edits in order; each sees the result of those before it.
 
-    Every edit parses anew, so the plan grows with the list. It is cut with a
-    checkpoint every few edits when the cluster names a checkpoint folder.
+    Every edit parses anew, so the plan grows with the list. For long lists pass ``cut``, for
+    instance ``DataFrame.checkpoint`` or a function that writes a table and reads it: it is
+    called after every ``cut_every`` edits but the last. Without it the plan is one piece.
     """
     out = pages.select(key, "html")
-    shared = checkpoint_dir(pages.sparkSession)
     for done, edit in enumerate(edits, start=1):
         out = _apply(out, edit, key)
-        if shared and done % checkpoint_every == 0 and done < len(edits):
-            out = out.checkpoint()
+        if cut is not None and done % cut_every == 0 and done < len(edits):
+            out = cut(out)
     return out

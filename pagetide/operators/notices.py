@@ -37,21 +37,24 @@ def truncate(text: Column, limit: int = FIELD_CHARS) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
-def numbered(items: Column, limit: int | None = None) -> Column:
+def numbered(items: Column, limit: int | None = None, chars: int = FIELD_CHARS) -> Column:
     """``1. item`` lines with a blank line between them, truncated."""
     shown = items if limit is None else F.slice(items, 1, limit)
     lines = F.transform(
         shown, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)
     )
-    return truncate(F.array_join(lines, "\n\n"))
+    return truncate(F.array_join(lines, "\n\n"), chars)
 
 
 def _entry(name: str, value: Column, inline: bool) -> Column:
     return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(inline).alias("inline"))
 
 
-def notice_fields() -> Column:
-    """Field list of a release row (version, url and the summary columns)."""
+def notice_fields(list_items: int | None = LIST_ITEMS, field_chars: int = FIELD_CHARS) -> Column:
+    """Field list of a release row (version, url and the summary columns).
+
+    Texts are cut behind ``field_chars``; the optional lists show ``list_items`` entries, None all.
+    """
     has = F.col("summary").isNotNull()
     filled = lambda c: has & (F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0)
     link = F.concat(F.lit(f"[{LINK_TEXT}]("), F.col("url"), F.lit(")"))
@@ -61,18 +64,18 @@ def notice_fields() -> Column:
     parts = [
         _entry(VERSION_FIELD, F.col("version"), True),
         _entry(LINK_FIELD, link, True),
-        F.when(has & (F.col("summary") != ""), _entry(SUMMARY_FIELD, truncate(F.col("summary")), False)),
-        F.when(filled("key_changes"), _entry(CHANGES_FIELD, numbered(F.col("key_changes")), False)),
+        F.when(has & (F.col("summary") != ""), _entry(SUMMARY_FIELD, truncate(F.col("summary"), field_chars), False)),
+        F.when(filled("key_changes"), _entry(CHANGES_FIELD, numbered(F.col("key_changes"), None, field_chars), False)),
     ]
     parts += [
-        F.when(filled(c), _entry(name, numbered(F.col(c), LIST_ITEMS), False))
+        F.when(filled(c), _entry(name, numbered(F.col(c), list_items, field_chars), False))
         for c, name in LIST_FIELDS.items()
     ]
     parts.append(F.when(has, _entry(MODEL_FIELD, stamp, True)))
     return F.array_compact(F.array(*parts))
 
 
-def notice_embed(product: str) -> Column:
+def notice_embed(product: str, list_items: int | None = LIST_ITEMS, field_chars: int = FIELD_CHARS) -> Column:
     """Embed struct of a release row; a null summary means there is none.
 
     Uses title, url, version, published_at, image_url, local_image_path and the
@@ -89,7 +92,7 @@ def notice_embed(product: str) -> Column:
         F.when(has, COLOUR_WITH_SUMMARY).otherwise(COLOUR_PLAIN).alias("color"),
         F.date_format("published_at", _ISO).alias("timestamp"),
         F.struct(footer.alias("text")).alias("footer"),
-        notice_fields().alias("fields"),
+        notice_fields(list_items, field_chars).alias("fields"),
         F.when(image.isNotNull(), F.struct(image.alias("url"))).alias("image"),
     )
 

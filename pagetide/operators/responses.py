@@ -37,16 +37,17 @@ def _strings(parsed: Column, path: str) -> Column:
 
 
 def parse_responses(
-    rows: DataFrame, model: str, as_of: Column, response: str = "response"
+    rows: DataFrame, model: str, as_of: Column, response: str = "response", fallback_chars: int = FALLBACK_CHARS
 ) -> DataFrame:
     """Add the summary fields of each response.
 
-    A response that is not JSON becomes a fallback summary: its first 500
-    characters, one fixed change and null (not empty) optional lists.
+    A response that is not JSON becomes a fallback summary: its first
+    ``fallback_chars`` characters, one fixed change and null (not empty)
+    optional lists.
     """
     parsed = rows.withColumn("_v", F.try_parse_json(response_json(F.col(response))))
     good = F.col("_v").isNotNull() & ~F.coalesce(F.is_variant_null("_v"), F.lit(False))
-    short = F.concat(F.substring(F.col(response), 1, FALLBACK_CHARS), F.lit("..."))
+    short = F.concat(F.substring(F.col(response), 1, fallback_chars), F.lit("..."))
     out = {
         "is_fallback": ~good,
         "summary": F.when(good, F.coalesce(_string(F.col("_v"), "$.summary"), F.lit(""))).otherwise(short),

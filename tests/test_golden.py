@@ -223,3 +223,25 @@ def test_chunks_lose_cut_tags(spark):
     pages = page(spark, "<p>aaaa</p><p>bb</p>")
     rows = patterns.chunk_hits(pages, ["p"], size=12).orderBy("chunk", "open").collect()
     assert [(r.chunk, r.position, r.text) for r in rows] == [(0, 0, "aaaa")]
+
+
+def test_limits_are_parameters(spark):
+    from pagetide.operators import notices, responses
+
+    row = spark.createDataFrame([("1", "u", "s" * 30, ["a"], ["x", "y", "z"], None, None, "m", None)], "version string, url string, summary string, key_changes array<string>, new_features array<string>, important_bug_fixes array<string>, skin_content array<string>, model string, generated_at timestamp_ntz")
+    fields = row.select(notices.notice_fields(list_items=2, field_chars=10).alias("f")).first().f
+    values = [f.value for f in fields]
+    assert values[2] == "s" * 10 + "..." and values[4] == "1. x\n\n2. y"
+    assert row.select(notices.notice_fields(list_items=None).alias("f")).first().f[4].value == "1. x\n\n2. y\n\n3. z"
+    raw = spark.createDataFrame([("no json at all",)], "response string")
+    assert responses.parse_responses(raw, "m", F.lit(None).cast("timestamp_ntz"), fallback_chars=4).first().summary == "no j..."
+
+
+def test_edits_may_cut_the_plan(spark):
+    from pagetide.operators import edits
+
+    pages = spark.createDataFrame([(1, "<p>a</p><b>b</b><i>c</i><u>d</u>")], "page_id long, html string")
+    jobs, seen = [edits.Edit("remove", t) for t in ("p", "b", "i")], []
+    whole = edits.edit_pages(pages, jobs).first().html
+    cut = edits.edit_pages(pages, jobs, cut=lambda df: seen.append(1) or spark.createDataFrame(df.collect(), df.schema), cut_every=1).first().html
+    assert whole == cut == "<u>d</u>" and len(seen) == 2
