@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import empty_documents, sentence, words
@@ -206,3 +207,22 @@ def test_stream_reader_takes_one_or_many_members():
         assert [r for _, r in archives.stream_records(io.BytesIO(data))] == records
     with pytest.raises(ValueError):
         list(archives.stream_records(io.BytesIO(gzip.compress(records[1][:-3]))))
+
+
+@pytest.mark.parametrize(("n", "window"), [(1500, 256), (4000, 512), (9000, 1024)])
+def test_neighbour_recall_where_windows_are_a_small_part(spark, n, window):
+    """Windows of a sixth to a ninth of the table: recall against brute force, and exact scores."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(0, 1, (max(2, n // 150), 32))
+    vectors = (centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.4, (n, 32))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": vectors.tolist()}))
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0, window=window).toPandas()
+    wide, found, total = vectors.astype(np.float64), 0, 0
+    for query in range(0, n, 50):
+        sims = wide @ wide[query]
+        sims[query] = -np.inf
+        best = set(np.argsort(-sims, kind="stable")[:20].tolist())
+        own = got[got["query_id"] == query]
+        assert own["rank"].tolist() == list(range(1, 21)) and np.allclose(own["score"], sims[own["vec_id"]], rtol=1e-9)
+        found, total = found + len(best & set(own["vec_id"])), total + 20
+    assert found / total >= 0.9, found / total
