@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagetide.llm.common import SPACE_CHARS, SPACES, md5_long, table, word_count
+from pagetide.llm.common import SPACE_CHARS, SPACES, md5_long, stored, table, word_count
 
 BUCKETS = 4096
 ROUNDS = 12
@@ -125,6 +125,8 @@ def mix(
         word_count(F.col(text)).alias("size"),
         (md5_long(F.coalesce(F.col(key).cast("string"), F.lit(""))) % BUCKETS).cast("int").alias("bucket"),
     )
+    if not whole:
+        rows = stored(rows, "mix-rows")  # so that texts are read once
     sums = rows.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("size"))
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("skey", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("_base"))
@@ -149,7 +151,7 @@ def mix(
         round_keys(F.lit("places"), F.col("_all")).alias("_places"),
     )
     chunks = keyed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK))))
-    draws = chunks.repartition("skey", "_chunk").withColumn(
+    draws = spread(chunks, "skey", "_chunk").withColumn(
         "_j", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("n_slots")) - 1))
     )
     place = permute(F.col("_ahead") + F.col("_j"), F.col("_all"), F.col("_places"))
@@ -165,6 +167,11 @@ def mix(
     return Mix(placed, sources.select("skey", "source", "size", "weight", "target", "n_blocks", "n_slots"), slots, pieces)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """A few rows that each make many, dealt to all tasks: a stated number is not lowered for their small size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def filled(counts: DataFrame, keyed: DataFrame) -> DataFrame:
     """Places of the shards (skey, turn, block, shard, slot) from the drawn counts (skey, shard, n) of their sources."""
     group = F.floor(F.col("shard") / SHARD_GROUP).alias("_group")
@@ -174,6 +181,7 @@ def filled(counts: DataFrame, keyed: DataFrame) -> DataFrame:
     groups = rows.groupBy("skey", "_group").agg(F.sum("n").alias("n")).select("skey", "_group", ahead("skey", "_group").alias("_base"))
     rows = rows.withColumn("_first", ahead("skey", "_group", "shard")).withColumn("_slot", ahead("shard", "skey"))
     rows = rows.join(groups, ["skey", "_group"]).join(keyed.select("skey", "n_blocks", "_keys"), "skey")
+    rows = spread(rows, "skey", "shard")
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rows = rows.withColumn("_j", F.col("_base") + F.col("_first") + F.col("_i"))
     turn = F.floor(F.col("_j") / F.col("n_blocks"))
