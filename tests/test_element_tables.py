@@ -132,3 +132,33 @@ def test_releases_of_one_pass_equal_those_of_two(spark):
     fetched = pages.withColumn("fetch", F.lit(1)).unionByName(pages.where("page_id = 2").select("page_id", F.replace("html", F.lit("1.3"), F.lit("1.4")).alias("html"), F.lit(2).alias("fetch")))
     both = extract.page_releases(fetched, base, when, card, key=["page_id", "fetch"], **args)
     assert {(r.page_id, r.fetch, r.version) for r in both.where("page_id = 2").collect()} == {(2, 1, "1.3"), (2, 2, "1.4")}
+
+
+def test_parse_log_and_observed_counts_agree(spark):
+    from pyspark.sql import Observation
+
+    from pagetide.operators import extract, metrics
+
+    card = extract.CardSelectors(container=("section::before", ".none", "article"), title=("h1", "h2"), url=("a",), image=("img",))
+    good = "<article><h2>Patch 1.{0} notes</h2><a href='/p/{0}'>go</a></article>"
+    pages = spark.createDataFrame([(i, good.format(i)) for i in range(5)] + [(10, "<p>none</p>"), (11, "<article>no title</article>"), (12, "<article><h2>Patch 2.1</h2></article>"), (13, None)], PAGE)
+    when, seen = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")), Observation("parses")
+    cards = extract.listing_cards(pages, "https://example.com", when, card, log=True)
+    extract.observe_parses(cards, seen).write.format("noop").mode("overwrite").save()
+    log = extract.parse_log(cards)
+    counts = {r.operation: (r.total, r.successful, r.failed) for r in metrics.operation_metrics(log).collect()}
+    assert counts == {"container": (9, 7, 2), "title": (7, 6, 1), "url": (6, 5, 1), "image": (5, 0, 5)}
+    assert {o: (seen.get[f"{o}_total"], seen.get[f"{o}_successful"]) for o in counts} == {o: c[:2] for o, c in counts.items()}
+    rows = {(r.page_id, r.operation): r for r in log.collect()}
+    assert rows[1, "container"].attempts == 3 and rows[1, "container"].fallback and rows[1, "title"].selector == "h2"
+    assert rows[13, "container"].attempts == 3 and rows[13, "container"].error == "container_not_found"
+    tried = extract.selector_log(cards)
+    assert {r.outcome for r in tried.where("selector = 'section::before'").collect()} == {"error"}
+    rates = {r.selector: r.success_rate for r in metrics.selector_rates(tried).collect()}
+    assert rates["section::before"] == 0 and rates["article"] == 1 and ".none" not in rates  # a miss is not recorded
+    try:
+        extract.listing_cards(pages, "https://example.com", when, card).count()
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("without a log an unreadable selector is an error")
