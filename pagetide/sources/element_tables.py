@@ -28,7 +28,7 @@ BUCKETS = 64
 def _parsed(pages: DataFrame, key: str, html: str, buckets: int, fetch: int) -> DataFrame:
     # Dealt like the buckets, so that a task parses and writes one bucket and nothing moves again.
     dealt = pages.select(key, html).repartition(buckets, key)
-    els = elements(dealt, key, html, tree=True, index=True)
+    els = elements(dealt, key, html, tree=True, index=True, spread=False)
     root = F.col("open") == 0
     digest = F.sha2(F.array_join("toks", ""), 256)  # the tokens are the cleaned HTML, cut
     return els.withColumns({"fetch": F.lit(fetch), "digest": F.when(root, digest)})

@@ -147,3 +147,14 @@ def test_one_shuffle_for_the_whole_element_model(spark):
     assert plan.count("Exchange") == 1
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
     assert "Python" not in plan and "Join" not in plan
+
+
+def test_tasks_follow_the_plain_size_of_the_html(spark):
+    """Markup that repeats itself packs well, yet the windows hold it in full."""
+    html = "<ul>" + "<li class='a'>item</li>" * 1000 + "</ul>"
+    pages = spark.range(800).select(F.col("id").alias("page_id"), F.lit(html).alias("html"))
+    pages = pages.unionByName(spark.createDataFrame([(None, "<p>x</p>"), (7, None)], "page_id long, html string"))
+    assert E.page_tasks(pages) == -(-(800 * (len(html) + 100) + 8 + 200) // E.TASK_BYTES) == 5
+    spans = E.element_spans(pages).where("open = 0").groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(spans) == 5 and sum(r.n for r in spans) == 801 and max(r.n for r in spans) < 250
+    assert E.page_tasks(pages.where("false")) == E.page_tasks(pages.limit(1)) == 2
