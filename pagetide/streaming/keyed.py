@@ -2,7 +2,7 @@
 
 Both work in two levels within one query. First the rows of a trigger are grouped by key and
 time bucket, so that a key which owns a large share of all rows is spread over tasks, and each
-group is reduced to its changes or to fragments of sessions. Then one small row per group
+group is reduced to its changes or to fragments of sessions (many keys and buckets in one call). Then one small row per group
 meets the state of its key in the state store (RocksDB): the last value, or the open sessions.
 No folder holds state; replays and restarts are the checkpoint's.
 """
@@ -20,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor
 #: Changed rows that need no state are spread over so many groups per key.
 LANES = 64
 SESSION_GAP_SECONDS, SESSION_SLOT_SECONDS = 1800, 3600
+#: Keys and slots of a trigger are cut into session fragments in so many groups, each in one vectorised call.
+FRAGMENT_LANES = 4096
 
 
 @contextmanager
@@ -140,9 +142,7 @@ class OpenSessions(StatefulProcessor):
             else:
                 joined.append(part)
         if joined:
-            self.open.put(joined)
-            for part in joined:
-                self.handle.registerTimer(-(-(part[1] + self.gap) // 1000))
+            self._keep(joined)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, left = timerValues.getCurrentWatermarkInMs() * 1000, []
@@ -151,7 +151,12 @@ class OpenSessions(StatefulProcessor):
                 yield self._shown(key, part, False)
             else:
                 left.append(part)
-        self.open.put(left) if left else self.open.clear()
+        self._keep(left) if left else self.open.clear()
+
+    def _keep(self, sessions: list[tuple]) -> None:
+        """One timer, for the session that ends first; it gives out all that have ended and sets the next."""
+        self.open.put(sessions)
+        self.handle.registerTimer(-(-(min(last for _, last, *_ in sessions) + self.gap) // 1000))
 
     def close(self) -> None:
         pass
@@ -169,25 +174,28 @@ def closed_sessions(
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     failed = F.coalesce(F.col("error") != "", F.lit(False)).cast("long")
     rows = stream.select(key, micros.alias("at"), failed.alias("failed"), F.floor(micros / (slot_seconds * MICROS)).alias("_slot"))
+    rows = rows.withColumn("_lane", F.pmod(F.xxhash64(key, "_slot"), F.lit(FRAGMENT_LANES)))
     gap, own = gap_seconds * MICROS, rows.schema[key]
 
     def fragments(table):
-        """Runs of rows within the gap, of one key and slot."""
+        """Runs of rows within the gap, for every key and slot of a lane."""
         import numpy as np
         import pyarrow as pa
 
-        at, bad = table.column("at").to_numpy(), table.column("failed").to_numpy()
-        turn = np.argsort(at, kind="stable")
-        at, bad = at[turn], bad[turn]
-        cuts = np.r_[0, 1 + np.flatnonzero(np.diff(at) > gap)]
+        names = table.column(key).combine_chunks()
+        code = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        at, bad, slot = (table.column(c).to_numpy() for c in ("at", "failed", "_slot"))
+        turn = np.lexsort((at, slot, code))
+        code, at, bad, slot = code[turn], at[turn], bad[turn], slot[turn]
+        cuts = np.r_[0, 1 + np.flatnonzero((np.diff(code) != 0) | (np.diff(slot) != 0) | (np.diff(at) > gap))]
         ends = np.r_[cuts[1:], len(at)]
         return pa.table({
-            key: table.column(key).take(pa.array(np.zeros(len(cuts), np.int64))), "started": at[cuts], "last": at[ends - 1],
+            key: names.take(pa.array(turn[cuts])), "started": at[cuts], "last": at[ends - 1],
             "total_operations": ends - cuts, "failed": np.add.reduceat(bad, cuts)})
 
     parts = T.StructType([own, *T.StructType.fromDDL(FRAGMENT)])
     clocked = (
-        rows.where("at is not null").groupBy(key, "_slot").applyInArrow(fragments, parts)
+        rows.where("at is not null").groupBy("_lane").applyInArrow(fragments, parts)
         .withColumn("_clock", F.timestamp_micros("last")).withWatermark("_clock", lateness).drop("_clock")  # late rows are shown, not dropped
     )
     shown = T.StructType([own, *T.StructType.fromDDL("started long, expires long, total_operations long, failed long, late boolean")])

@@ -125,6 +125,28 @@ def test_sessions_keep_open_ones_only_and_append_closed_ones_once(spark, tmp_pat
     assert spark.read.parquet(out).where("not late").count() + keyed.open_sessions(spark, checkpoint).count() == want.count()
 
 
+def test_a_key_with_many_open_sessions_has_one_timer(spark, tmp_path):
+    schema = "k string, ts timestamp, error string"
+    rows = [(k, T0 + dt.timedelta(minutes=31 * i, seconds=j), "x" if i % 7 == 0 else None) for k in ("a", "b", None) for i in range(60) for j in (0, 5)]
+    folder, out, checkpoint = drops(spark, tmp_path, [rows], schema), str(tmp_path / "out"), str(tmp_path / "c")
+    run(jobs.run_sessions(jobs.file_stream(spark, folder), "k", out, checkpoint, lateness="10 days"))
+    still = keyed.open_sessions(spark, checkpoint)
+    assert still.count() == 180 and spark.read.parquet(out).count() == 0
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(checkpoint)
+    assert timers.count() == 3
+    # The timer gives out all sessions that have ended and leaves one for the next.
+    drops(spark, tmp_path, [[("a", T0 + dt.timedelta(days=10, hours=10), "x")]], schema)
+    run(jobs.run_sessions(jobs.file_stream(spark, folder), "k", out, checkpoint, lateness="10 days"))
+    closed, still = spark.read.parquet(out), keyed.open_sessions(spark, checkpoint)
+    names = ["k", "started", "expires", "total_operations", "failed"]
+    assert 0 < closed.count() < 180 and closed.count() + still.count() == 181 and not closed.where("late").count()
+    assert still.where("k = 'b'").agg(F.min("expires")).first()[0] > T0 + dt.timedelta(hours=10)
+    want = jobs.operation_sessions(spark.read.parquet(folder), "k").select(names)
+    assert sorted(map(repr, closed.unionByName(still, allowMissingColumns=True).select(names).collect())) == sorted(map(repr, want.collect()))
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(checkpoint)
+    assert timers.count() == 3
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = "k string, ts timestamp"
     on_time = [("a", T0 + dt.timedelta(minutes=m)) for m in (0, 10, 300)]
