@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
-from pagetide.operators.elements import elements, page_tokens_of
+from pagetide.operators.elements import elements, page_tokens_of, spread_pages
 from pagetide.operators.selectors import match, needs_tree
 
 
@@ -46,7 +46,8 @@ def _new_tag(token: Column, names: Column, values: Column, attributes: Mapping[s
 
 
 def _apply(pages: DataFrame, edit: Edit, key: str) -> DataFrame:
-    els = match(elements(pages, key, tree=needs_tree([edit.selector])), [edit.selector], key)
+    # Every edit leaves its pages by key, as edit_pages dealt them.
+    els = match(elements(pages, key, tree=needs_tree([edit.selector]), spread=False), [edit.selector], key)
     target = F.struct("open", "close", "tag", "token", "attr_names", "attr_values")
     page = els.groupBy(key).agg(
         page_tokens_of().alias("toks"),
@@ -121,9 +122,9 @@ def edit_pages(
     instance ``DataFrame.checkpoint`` or a function that writes a table and reads it: it is
     called after every ``cut_every`` edits but the last. Without it the plan is one piece.
     """
-    out = pages.select(key, "html")
+    out = spread_pages(pages, key)
     for done, edit in enumerate(edits, start=1):
         out = _apply(out, edit, key)
         if cut is not None and done % cut_every == 0 and done < len(edits):
-            out = cut(out)
+            out = spread_pages(cut(out), key)
     return out

@@ -6,9 +6,11 @@ A few run by default; set PAGETIDE_ALL=1 to run every one.
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from pagetide.operators import edits
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -40,3 +42,22 @@ def test_queries_stay_in_the_jvm(spark):
     for name in ("page_first_card", "content_profile", "masked_length", "keywords", "link_validation", "embeds"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_pages_made_of_one_small_file_are_dealt_to_all_tasks(spark, tmp_path):
+    rows = spark.range(5000).selectExpr(
+        "id AS p_partkey", "concat('part ', id) AS p_name", "'Brand#1' AS p_brand", "'STEEL' AS p_type", "CAST(id % 50 AS INT) AS p_size", "1.0D AS p_retailprice")
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = entry.queries()["element_attributes"](spark, str(tmp_path))
+    per_task = made.groupBy(F.spark_partition_id()).agg(F.countDistinct("page_id").alias("n")).collect()
+    assert len(per_task) == 4 and sum(r.n for r in per_task) == 5000 and max(r.n for r in per_task) < 2000
+
+
+def test_edits_stay_where_their_pages_were_dealt(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('<nav>a</nav>', repeat('<p>text text text</p>', 400), '<article>', id, '</article>') AS html")
+    done = edits.edit_pages(pages, [edits.Edit("remove", "nav"), edits.Edit("modify", "article", attributes={"k": "1"})])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    per_task = done.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(per_task) >= 6 and sum(r.n for r in per_task) == 3000
+    assert done.where("page_id = 5").first().html.endswith('<article k="1">5</article>')
