@@ -61,3 +61,16 @@ def test_edits_stay_where_their_pages_were_dealt(spark):
     per_task = done.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert len(per_task) >= 6 and sum(r.n for r in per_task) == 3000
     assert done.where("page_id = 5").first().html.endswith('<article k="1">5</article>')
+
+
+DEALT_BY_SIZE = (
+    "publish_dates",
+    "page_outline",
+)
+
+
+@pytest.mark.parametrize("name", DEALT_BY_SIZE)
+def test_windows_run_where_pages_were_dealt_by_size(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    by_page = [line for line in plan.splitlines() if "Exchange hashpartitioning(page_id" in line]
+    assert by_page and all("REPARTITION_BY_NUM" in line for line in by_page)
