@@ -66,6 +66,7 @@ def test_edits_stay_where_their_pages_were_dealt(spark):
 DEALT_BY_SIZE = (
     "publish_dates",
     "page_outline",
+    "release_records",
 )
 
 
