@@ -67,6 +67,7 @@ DEALT_BY_SIZE = (
     "publish_dates",
     "page_outline",
     "release_records",
+    "card_rejects",
 )
 
 
