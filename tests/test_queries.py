@@ -68,6 +68,7 @@ DEALT_BY_SIZE = (
     "page_outline",
     "release_records",
     "card_rejects",
+    "card_titles",
 )
 
 
