@@ -69,6 +69,7 @@ DEALT_BY_SIZE = (
     "release_records",
     "card_rejects",
     "card_titles",
+    "selector_rates",
 )
 
 
