@@ -70,6 +70,7 @@ DEALT_BY_SIZE = (
     "card_rejects",
     "card_titles",
     "selector_rates",
+    "parse_log",
 )
 
 
