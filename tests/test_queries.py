@@ -71,6 +71,7 @@ DEALT_BY_SIZE = (
     "card_titles",
     "selector_rates",
     "parse_log",
+    "listing_cards",
 )
 
 
