@@ -72,6 +72,7 @@ DEALT_BY_SIZE = (
     "selector_rates",
     "parse_log",
     "listing_cards",
+    "operation_metrics",
 )
 
 
