@@ -73,6 +73,7 @@ DEALT_BY_SIZE = (
     "parse_log",
     "listing_cards",
     "operation_metrics",
+    "card_urls",
 )
 
 
