@@ -74,6 +74,7 @@ DEALT_BY_SIZE = (
     "listing_cards",
     "operation_metrics",
     "card_urls",
+    "image_urls",
 )
 
 
