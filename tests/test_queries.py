@@ -75,6 +75,7 @@ DEALT_BY_SIZE = (
     "operation_metrics",
     "card_urls",
     "image_urls",
+    "match_confidence",
 )
 
 
