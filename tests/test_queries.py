@@ -76,6 +76,7 @@ DEALT_BY_SIZE = (
     "card_urls",
     "image_urls",
     "match_confidence",
+    "element_children",
 )
 
 
