@@ -77,6 +77,7 @@ DEALT_BY_SIZE = (
     "image_urls",
     "match_confidence",
     "element_children",
+    "grid_containers",
 )
 
 
