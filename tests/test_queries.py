@@ -78,6 +78,7 @@ DEALT_BY_SIZE = (
     "match_confidence",
     "element_children",
     "grid_containers",
+    "page_links",
 )
 
 
