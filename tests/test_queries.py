@@ -79,6 +79,7 @@ DEALT_BY_SIZE = (
     "element_children",
     "grid_containers",
     "page_links",
+    "listing_elements",
 )
 
 
