@@ -80,6 +80,7 @@ DEALT_BY_SIZE = (
     "grid_containers",
     "page_links",
     "listing_elements",
+    "page_structure",
 )
 
 
