@@ -91,7 +91,7 @@ def test_windows_run_where_pages_were_dealt_by_size(spark, name):
     assert by_page and all("REPARTITION_BY_NUM" in line for line in by_page)
 
 
-@pytest.mark.parametrize("name", ("selector_rates", "parse_log"))
+@pytest.mark.parametrize("name", ("selector_rates", "parse_log", "operation_metrics"))
 def test_no_filter_works_out_the_parse_log_again(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     filters = [line for line in plan.splitlines() if line.lstrip(" :+-*(0123456789)").startswith("Filter ")]
