@@ -158,3 +158,26 @@ def test_tasks_follow_the_plain_size_of_the_html(spark):
     spans = E.element_spans(pages).where("open = 0").groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
     assert len(spans) == 5 and sum(r.n for r in spans) == 801 and max(r.n for r in spans) < 250
     assert E.page_tasks(pages.where("false")) == E.page_tasks(pages.limit(1)) == 2
+
+
+def test_a_task_that_reads_much_html_spreads_it_before_it_is_dealt_by_key(spark, monkeypatch):
+    """Beyond DIRECT_TASKS a writing task holds its rows: all HTML of a row group, if nothing spreads them first."""
+    monkeypatch.setattr(E, "TASK_BYTES", 2000)
+    monkeypatch.setattr(E, "HELD_BYTES", 4000)
+    monkeypatch.setattr(E, "DIRECT_TASKS", 20)
+    pages = spark.range(300).selectExpr("if(id % 50 = 49, null, id % 290) AS page_id", "concat('<p>', repeat('x', id), '</p>') AS html")
+    few, many = pages.coalesce(1), pages.repartition(40)
+    assert E.page_tasks(few) == E.page_tasks(many) > E.DIRECT_TASKS
+
+    def exchanges(rows):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning(page_id"), plan.count("Exchange hashpartitioning(_dealt")
+
+    spread = E.spread_pages(few)
+    assert exchanges(spread) == (1, 1) and exchanges(E.spread_pages(many)) == (1, 0)
+    assert spread.columns == ["page_id", "html"] and sorted(map(str, spread.collect())) == sorted(map(str, few.collect()))
+    assert spread.rdd.getNumPartitions() == E.page_tasks(few)
+    read = E.spread_rows(few, 20).groupBy(F.spark_partition_id()).agg(F.sum(F.length("html")).alias("n")).collect()
+    assert len(read) == 20 and max(r.n for r in read) < 8000 < sum(r.n for r in read) / 5
+    spans = [sorted(map(str, E.element_spans(p).drop("toks").collect())) for p in (few, many)]
+    assert spans[0] == spans[1] and len(spans[0]) == 2 * 286
