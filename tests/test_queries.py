@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, connect
-from pagetide.operators import edits
+from pagetide.operators import edits, elements
+from pagetide.plans import inputs
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -53,6 +54,22 @@ def test_pages_made_of_one_small_file_are_dealt_to_all_tasks(spark, tmp_path):
     assert len(per_task) == 4 and sum(r.n for r in per_task) == 5000 and max(r.n for r in per_task) < 2000
 
 
+def test_rows_that_become_pages_are_dealt_without_holding_a_row_group(spark, tmp_path, monkeypatch):
+    """Dealing in turn sorts all rows that a task reads, and so does writing to more tasks than DIRECT_TASKS."""
+    rows = spark.range(6000).selectExpr(
+        "if(id % 10 = 9, null, id % 4000) AS p_partkey", "concat('part ', id) AS p_name", "'Brand#1' AS p_brand", "'STEEL' AS p_type", "CAST(id % 50 AS INT) AS p_size")
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    read = spark.read.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(inputs, "ROWS_PER_TASK", 10)
+    dealt = inputs.dealt_rows(read)
+    per_task = dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(per_task) == elements.DIRECT_TASKS and max(r.n for r in per_task) < 90
+    assert dealt.columns == read.columns and dealt.exceptAll(read).isEmpty() and read.exceptAll(dealt).isEmpty()
+    monkeypatch.undo()
+    plan = entry.queries()["listing_elements"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and plan.count("Exchange hashpartitioning(_dealt") == 1
+
+
 def test_edits_stay_where_their_pages_were_dealt(spark):
     pages = spark.range(3000).selectExpr("id AS page_id", "concat('<nav>a</nav>', repeat('<p>text text text</p>', 400), '<article>', id, '</article>') AS html")
     done = edits.edit_pages(pages, [edits.Edit("remove", "nav"), edits.Edit("modify", "article", attributes={"k": "1"})])
